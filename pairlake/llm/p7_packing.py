@@ -36,6 +36,7 @@ class Windows:
         self.free: list[tuple[int, int]] = []  # (room, window)
         self.held: dict[int, list] = {}
         self.made = 0
+        self.ready = None  # a second window emitted by the same put
 
     def put(self, item, size: int):
         """Place an item; returns (window, items, room) of a window that had to be emitted, or None."""
