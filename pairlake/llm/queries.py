@@ -11,6 +11,7 @@ from ..runtime import table
 from . import (
     p1_ranking,
     p2_truncation,
+    p3_pair_defects,
     p4_split_overlap,
     p5_consensus,
     p6_format_duplicates,
@@ -28,6 +29,7 @@ def queries() -> dict[str, Query]:
         "p1_win_counts": lambda s, d: p1_ranking.win_counts(table(s, d, "winrate")),
         "p2_found": lambda s, d: p2_truncation.cut_records(table(s, d, "llm_responses"), table(s, d, "verdicts"), table(s, d, "prompts")),
         "p2_cut_shares": lambda s, d: p2_truncation.cut_shares(table(s, d, "llm_responses"), table(s, d, "verdicts"), table(s, d, "prompts")),
+        "p3_found": lambda s, d: p3_pair_defects.defects(table(s, d, "pairs"), table(s, d, "prompts"), table(s, d, "llm_responses")),
         "p4_found": lambda s, d: p4_split_overlap.p4_pairs(table(s, d, "prompts")),
         "p4_report": lambda s, d: p4_split_overlap.overlap_report(table(s, d, "prompts")),
         "p5_found": lambda s, d: p5_consensus.consensus(table(s, d, "verdicts"))[0].select("prompt_id", "source", "best"),

@@ -26,6 +26,8 @@ TERMINATED = re.compile(r"[.!?。！？]$")
 TOKEN = re.compile(r"\S+")
 STRUCT = re.compile(r'["\\{}\[\]]')
 LIST_MARK = re.compile(r"(?:^|\n)\s*(?:[-*•]|\d+[.)])$")
+PLAIN_END = frozenset(".!?")
+LAST_NUMBER = re.compile(r"\n\s*\d+\.$")
 ITEM = re.compile(r"(?:[-*•]|\d+[.)])$")
 EDGE = "\"'“”„«»‹›()[]{}*_`.,;:!?¡¿…<>|#=~"
 
@@ -69,11 +71,12 @@ def _key(raw: str) -> str:
 class BoundaryModel:
     MIN_WORD = 5
 
-    def __init__(self, prior: float = 0.35) -> None:
+    def __init__(self, prior: float = 0.5) -> None:
         self.prior = prior
         self.words: dict[str, int] = {}
         self.prefixes: dict[str, int] = {}
         self.grams: dict[tuple, list] = {}
+        self.common: set[str] = set()
 
     # -- fitting -----------------------------------------------------------------------------------------------
     def fit(self, texts: list[str]) -> "BoundaryModel":
@@ -93,6 +96,7 @@ class BoundaryModel:
                 for part in re.split(r"[-'’]", raw.strip(EDGE).lower())[:-1]:
                     full[part] += 0  # known as a part only
         self.words = {w: n for w, n in full.items() if n}
+        self.common = {w for w, _ in full.most_common(60)} | {"<s>"}
         prefixes: Counter = Counter()
         for w, n in self.words.items():
             for i in range(1, len(w)):
@@ -104,27 +108,41 @@ class BoundaryModel:
             for i, (raw, end) in enumerate(tokens):
                 shapes.append(self.shape(raw))
                 last = i == len(tokens) - 1
-                ends = TERMINATED.search(raw.rstrip("\"'”»)*_")) or (not last and "\n" in text[end : tokens[i + 1][1]])
+                mark = len(shapes) == 4 and ITEM.match(raw)  # '2.' before an item ends no sentence
+                ends = (not mark and TERMINATED.search(raw.rstrip("\"'”»)*_"))) or (not last and "\n" in text[end : tokens[i + 1][1]])
                 if last and not ends:
                     weight, slot = 0.5, 1  # it may be cut right here
                 else:
                     weight, slot = 1.0, 1 if ends else 0
-                for k in (1, 2, 3):
-                    g = (shapes[0], *shapes[-k:])
+                for g in self.contexts(shapes):
                     if g not in grams:
                         grams[g] = [0.0, 0.0]
                     grams[g][slot] += weight
                 if ends and not last:
                     shapes = self.opening(tokens[i + 1][0])
         self.grams = {g: tuple(c) for g, c in grams.items() if len(g) == 2 or c[0] + c[1] >= 1.5}
+        # the source's own baseline: how many of its texts without terminator are whole all the same
+        open_ended = [t for t, _ in parsed if not TERMINATED.search(t)]
+        whole = sum(self.p_end(t) > 0.5 for t in open_ended)
+        self.prior = min(0.8, max(0.2, (whole + 1) / (len(open_ended) + 2)))
         return self
 
-    def shape(self, raw: str) -> str:
+    def contexts(self, shapes: list[str]) -> tuple[tuple, ...]:
+        """From the least to the most specific; a word class is a frequent word itself or <x>."""
+        before = shapes[-2] if shapes[-2] in self.common else "<x>"
+        second = shapes[-3] if shapes[-3] in self.common else "<x>"
+        kind, last = shapes[0], shapes[-2:]
+        return (
+            (kind, last[1]), (kind, last[0], "*", ""), (kind, before, last[1], ""), (kind, *last),
+            (kind, second, *last, ""), (kind, *shapes[-3:]),
+        )
+
+    def shape(self, raw: str, one_case: bool = False) -> str:
         key = _key(raw)
         if self.words.get(key, 0) >= self.MIN_WORD or not key:
             return key or raw
         core = raw.strip(EDGE)
-        return "<C>" if core[:1].isupper() else "<0>" if core[:1].isdigit() else "<w>"
+        return "<C>" if core[:1].isupper() or (one_case and core[:1].isalpha()) else "<0>" if core[:1].isdigit() else "<w>"
 
     @staticmethod
     def opening(raw: str) -> list[str]:
@@ -141,16 +159,21 @@ class BoundaryModel:
 
     def p_end(self, stem: str) -> float:
         """Probability that the last word of a stem without terminator ends a sentence or item."""
-        line = re.split(r"(?<=[.!?])\s+|\n", stem)[-1]
-        tokens = TOKEN.findall(line)
+        line = stem.rsplit("\n", 1)[-1].strip()
+        head = re.match(r"(?:[-*•]|\d+[.)])\s+", line)
+        sentences = re.split(r"(?<=[.!?])\s+", line[head.end() :] if head else line)
+        tokens = TOKEN.findall(sentences[-1])
+        if head and len(sentences) == 1:
+            tokens.insert(0, head.group().strip())
         if not tokens:
             return 1.0
         if self.partial_word(tokens[-1]):
             return 0.02
-        shapes = [*self.opening(tokens[0]), *(self.shape(t) for t in tokens)]
+        one_case = stem == stem.lower() or stem == stem.upper()
+        shapes = [*self.opening(tokens[0]), *(self.shape(t, one_case) for t in tokens)]
         p = self.prior
-        for k in (1, 2, 3):
-            c, b = self.grams.get((shapes[0], *shapes[-k:]), (0.0, 0.0))
+        for g in self.contexts(shapes):
+            c, b = self.grams.get(g, (0.0, 0.0))
             p = (b + p * 1.5) / (b + c + 1.5)
         return p
 
@@ -158,6 +181,9 @@ class BoundaryModel:
         if text is None:
             return False
         text = text.rstrip()
+        if text[-1:] in PLAIN_END and text[-2:-1].isalnum() and "{" not in text and "`" not in text:
+            if not LAST_NUMBER.search(text, max(0, len(text) - 8)):
+                return False  # the common case, without any scan of the text
         if not text.strip(EMPTY_MARKS) or STAND_IN.fullmatch(text):
             return False
         mark = CUT_MARK.search(text)
