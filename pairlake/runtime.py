@@ -53,3 +53,17 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """Hint a broadcast only after counting at most limit + 1 rows; otherwise leave the join to Spark."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def ship(spark: SparkSession, obj):
+    """Broadcast an object of our own classes (its size bounded by its caller); returns a loader for the executors."""
+    from pyspark import cloudpickle
+
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(obj))
+
+    def load():
+        from pyspark import cloudpickle
+
+        return cloudpickle.loads(shared.value)
+
+    return load
