@@ -17,6 +17,7 @@ from . import (
     p6_format_duplicates,
     p7_packing,
     p8_mixing,
+    p9_personal_data,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,9 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: p2_truncation.cut_records(table(s, d, "llm_responses"), table(s, d, "verdicts"), table(s, d, "prompts")),
         "p2_cut_shares": lambda s, d: p2_truncation.cut_shares(table(s, d, "llm_responses"), table(s, d, "verdicts"), table(s, d, "prompts")),
         "p3_found": lambda s, d: p3_pair_defects.defects(table(s, d, "pairs"), table(s, d, "prompts"), table(s, d, "llm_responses")),
+        "p3_report": lambda s, d: p3_pair_defects.defect_report(
+            p3_pair_defects.defects(table(s, d, "pairs"), table(s, d, "prompts"), table(s, d, "llm_responses")), table(s, d, "pairs")
+        ),
         "p4_found": lambda s, d: p4_split_overlap.p4_pairs(table(s, d, "prompts")),
         "p4_report": lambda s, d: p4_split_overlap.overlap_report(table(s, d, "prompts")),
         "p5_found": lambda s, d: p5_consensus.consensus(table(s, d, "verdicts"))[0].select("prompt_id", "source", "best"),
@@ -39,6 +43,8 @@ def queries() -> dict[str, Query]:
         "p6_copies": lambda s, d: p6_format_duplicates.copies_report(table(s, d, "prompts")),
         "p7_pack": lambda s, d: p7_packing.pack_documents(table(s, d, "documents"), table(s, d, "pack_limits")),
         "p7_fill": lambda s, d: p7_packing.fill_report(p7_packing.pack_documents(table(s, d, "documents"), table(s, d, "pack_limits"))),
+        "p9_found": lambda s, d: p9_personal_data.personal_items(table(s, d, "documents")),
+        "p9_redacted": lambda s, d: p9_personal_data.redacted(table(s, d, "documents")),
         "p8_mix": lambda s, d: p8_mixing.mix_documents(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p8_shares": lambda s, d: p8_mixing.share_report(
             p8_mixing.mix_documents(table(s, d, "documents"), table(s, d, "mix_targets")), table(s, d, "mix_targets")
