@@ -70,6 +70,8 @@ def _key(raw: str) -> str:
 
 class BoundaryModel:
     MIN_WORD = 5
+    #: Beginnings are kept up to so many characters, so that one endless word cannot fill the memory.
+    LONGEST_WORD = 40
 
     def __init__(self, prior: float = 0.5) -> None:
         self.prior = prior
@@ -99,7 +101,7 @@ class BoundaryModel:
         self.common = {w for w, _ in full.most_common(60)} | {"<s>"}
         prefixes: Counter = Counter()
         for w, n in self.words.items():
-            for i in range(1, len(w)):
+            for i in range(1, min(len(w), self.LONGEST_WORD)):
                 prefixes[w[:i]] += n
         self.prefixes = dict(prefixes)
         grams: dict[tuple, list] = {}
