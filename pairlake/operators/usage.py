@@ -20,11 +20,11 @@ def rolling_sum(events: DataFrame, by: str, at: str, value: str, ident: str, sec
     busy key is split over many tasks and every window is still whole.
     """
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = events.select(F.col(ident), F.col(by), us.alias("t"), F.col(value).cast("long").alias("v")).withColumn("b", F.floor(F.col("t") / (bucket * 1_000_000)))
-    guests = rows.filter(F.floor((F.col("t") + seconds * 1_000_000) / (bucket * 1_000_000)) > F.col("b")).withColumn("b", F.col("b") + 1).withColumn("guest", F.lit(True))
-    both = rows.withColumn("guest", F.lit(False)).unionByName(guests)
-    w = Window.partitionBy(by, "b").orderBy("t").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return both.withColumn("used", F.sum("v").over(w) - F.col("v")).filter(~F.col("guest")).select(ident, by, "used")
+    rows = events.select(F.col(ident), F.col(by), us.alias("__t"), F.col(value).cast("long").alias("__v")).withColumn("__b", F.floor(F.col("__t") / (bucket * 1_000_000)))
+    guests = rows.filter(F.floor((F.col("__t") + seconds * 1_000_000) / (bucket * 1_000_000)) > F.col("__b")).withColumn("__b", F.col("__b") + 1).withColumn("__guest", F.lit(True))
+    both = rows.withColumn("__guest", F.lit(False)).unionByName(guests)
+    w = Window.partitionBy(by, "__b").orderBy("__t").rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    return both.withColumn("used", F.sum("__v").over(w) - F.col("__v")).filter(~F.col("__guest")).select(ident, by, "used")
 
 
 def spaced_starts(events: DataFrame, by: str, at: str, ident: str, micros: int, bucket: int = 3600) -> DataFrame:
@@ -34,17 +34,17 @@ def spaced_starts(events: DataFrame, by: str, at: str, ident: str, micros: int,
     whole history is in one task.
     """
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = events.select(F.col(ident), F.col(by), us.alias("t")).withColumn("b", F.floor(F.col("t") / (bucket * 1_000_000)))
-    w = Window.partitionBy(by, "b").orderBy("t", ident)
-    inner = rows.withColumn("i", F.row_number().over(w))
-    sizes = rows.groupBy(by, "b").agg(F.count("*").alias("n"))
-    offset = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = inner.join(offset.select(by, "b", "before"), [by, "b"]).withColumn("k", F.col("i") + F.col("before")).withColumn("slack", F.col("t") - F.col("k") * micros)
-    top = placed.groupBy(by, "b").agg(F.max("slack").alias("m"))
-    carried = top.withColumn("past", F.max("m").over(Window.partitionBy(by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).select(by, "b", "past")
-    run = F.max("slack").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return placed.withColumn("run", run).join(carried, [by, "b"]).select(
-        ident, by, (F.greatest("run", F.coalesce("past", "run")) + F.col("k") * micros).alias("start_us")
+    rows = events.select(F.col(ident), F.col(by), us.alias("__t")).withColumn("__b", F.floor(F.col("__t") / (bucket * 1_000_000)))
+    w = Window.partitionBy(by, "__b").orderBy("__t", ident)
+    inner = rows.withColumn("__i", F.row_number().over(w))
+    sizes = rows.groupBy(by, "__b").agg(F.count("*").alias("__n"))
+    offset = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = inner.join(offset.select(by, "__b", "__before"), [by, "__b"]).withColumn("__k", F.col("__i") + F.col("__before")).withColumn("__slack", F.col("__t") - F.col("__k") * micros)
+    top = placed.groupBy(by, "__b").agg(F.max("__slack").alias("__m"))
+    carried = top.withColumn("__past", F.max("__m").over(Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).select(by, "__b", "__past")
+    run = F.max("__slack").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("__run", run).join(carried, [by, "__b"]).select(
+        ident, by, (F.greatest("__run", F.coalesce("__past", "__run")) + F.col("__k") * micros).alias("start_us")
     )
 
 

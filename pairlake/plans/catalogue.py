@@ -571,15 +571,15 @@ def usage_by_model_stream(s, d):
     return usage_stream(s, f"{d}/llm_responses.parquet")
 
 
-@query("WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t, value::BIGINT AS v0, floor(value)::BIGINT AS v FROM events) SELECT event_id, event_type, (sum(v) OVER (PARTITION BY event_type ORDER BY t RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) - v)::BIGINT AS used FROM e")
+@query("WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t, value::BIGINT AS v0, floor(value)::BIGINT AS v FROM events) SELECT event_id, event_type, (sum(v) OVER (PARTITION BY event_type ORDER BY t RANGE BETWEEN 1799999999 PRECEDING AND CURRENT ROW) - v)::BIGINT AS used FROM e")
 def rolling_tokens(s, d):
     e = table(s, d, "events").withColumn("tokens", F.floor("value"))
-    return usage.rolling_sum(e, "event_type", "ts", "tokens", "event_id")
+    return usage.rolling_sum(e, "event_type", "ts", "tokens", "event_id", seconds=1800)
 
 
-@query("WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events) SELECT event_id, event_type, (max(t - k * 60000000) OVER (PARTITION BY event_type ORDER BY k ROWS UNBOUNDED PRECEDING) + k * 60000000)::BIGINT AS start_us FROM e")
+@query("WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events) SELECT event_id, event_type, (max(t - k * 1200000000) OVER (PARTITION BY event_type ORDER BY k ROWS UNBOUNDED PRECEDING) + k * 1200000000)::BIGINT AS start_us FROM e")
 def spaced_starts(s, d):
-    return usage.spaced_starts(table(s, d, "events"), "event_type", "ts", "event_id", 60_000_000)
+    return usage.spaced_starts(table(s, d, "events"), "event_type", "ts", "event_id", 1_200_000_000)
 
 
 @query("WITH q AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC, resp_id DESC) AS rn FROM (SELECT DISTINCT ON (resp_id) * FROM llm_responses ORDER BY resp_id, loaded_at) WHERE cache_key IS NOT NULL) SELECT cache_key, resp_id, model, text FROM q WHERE rn = 1")
