@@ -53,4 +53,14 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL exists where it can say the whole of a query; the others are tested against brute force in tests/llm."""
+    return {
+        "p1_win_counts": """
+            WITH r AS (SELECT DISTINCT ON (x, y, prompt_id) * FROM winrate WHERE x IS NOT NULL AND y IS NOT NULL ORDER BY x, y, prompt_id, outcome IS NULL, loaded_at DESC),
+            c AS (SELECT least(x, y) AS x, greatest(x, y) AS y, CASE WHEN x > y THEN 1 - outcome ELSE outcome END AS o,
+                  (CASE WHEN x > y THEN len_y - len_x ELSE len_x - len_y END)::DOUBLE AS d FROM r WHERE outcome IS NOT NULL AND x <> y),
+            k AS (SELECT x, y, d, count(*)::DOUBLE AS n, sum(o) AS w FROM c GROUP BY ALL),
+            m AS (SELECT x, y, sum(d * n) / sum(n) FILTER (WHERE d IS NOT NULL) AS m FROM k GROUP BY ALL)
+            SELECT k.x, k.y, coalesce(d, m, 0) AS d, n, w FROM k JOIN m USING (x, y)
+        """,
+    }
