@@ -287,6 +287,15 @@ def judge_prompts(s, d):
     return c.join(p, "prompt_id").select("prompt_id", "source", F.concat("head", F.lit("\n\n"), F.array_join(F.col("x.b"), "\n\n")).alias("rendered"))
 
 
+@query(f"WITH {GEN}, {P} SELECT c.prompt_id, c.source, first({STRIP.format('p.prompt')}) || E'\\n\\n' || string_agg('Response ' || chr(65 + cand) || E':\\n' || text, E'\\n\\n' ORDER BY cand) AS rendered FROM c JOIN p ON c.prompt_id = p.id GROUP BY ALL")
+def judge_prompts_whole(s, d):
+    """What a judge is shown: the whole request and whole answers (judge_prompts has F15's cuts, for display)."""
+    body = F.concat(F.lit("Response "), F.char(F.lit(65) + F.col("cand")), F.lit(":\n"), "text")
+    c = labels.candidates(responses(s, d)).groupBy("prompt_id", "source").agg(F.array_sort(F.collect_list(F.struct("cand", body.alias("b")))).alias("x"))
+    p = prompts(s, d).select(F.col("id").alias("prompt_id"), strip(F.col("prompt")).alias("head"))
+    return c.join(p, "prompt_id").select("prompt_id", "source", F.concat("head", F.lit("\n\n"), F.array_join(F.col("x.b"), "\n\n")).alias("rendered"))
+
+
 # -- verdicts ----------------------------------------------------------------------------------------------------
 @query(f"WITH {VALID} SELECT judge, count(*) AS n, count(v.verdict_id) AS n_valid FROM v0 LEFT JOIN v USING (verdict_id, judge) GROUP BY ALL")
 def verdict_validity(s, d):
