@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +60,7 @@ def wilson(p: Column, n: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), mid - rad), F.least(F.lit(1.0), mid + rad)
 
 
-def bootstrap(outcomes: DataFrame, by: list[str], value: str, key: Column, resamples: int = 200) -> DataFrame:
+def bootstrap(outcomes: DataFrame, by: list[str], value: str, key: Column, resamples: int = 10_000) -> DataFrame:
     """Percentile interval of the mean by hashed resampling.
 
     Draw b of a group of n takes, for each of its n places, the row numbered hash(b, place) mod n; so a row's copies
@@ -78,6 +82,35 @@ def bootstrap(outcomes: DataFrame, by: list[str], value: str, key: Column, resam
     )
 
 
+def bootstrap_draws(outcomes: DataFrame, by: list[str], value: str, resamples: int = 10_000) -> DataFrame:
+    """Percentile interval of the mean over all resamples, each a multinomial draw over a group's distinct values.
+
+    How often each distinct value falls into a resample of n rows is multinomial with the values' shares, so this is
+    the distribution of drawing n rows; it costs resamples x distinct values, however many rows there are. The seed
+    is a hash of the group's key, so neither partitions nor other groups matter.
+    """
+    per = outcomes.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    groups = per.groupBy(*by).agg(F.sum("_c").alias("n"), F.sort_array(F.collect_list(F.struct("_v", "_c"))).alias("_steps"))
+    seeded = groups.select(*by, "n", hash32(F.to_json(F.struct(*by))).alias("_seed"), F.col("_steps._v").alias("_v"), F.col("_steps._c").alias("_c"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds = []
+            for n, seed, values, counts in zip(*(batch.column(c).to_pylist() for c in ("n", "_seed", "_v", "_c"))):
+                rng = np.random.default_rng(seed)
+                values, shares = np.array(values), np.array(counts) / n
+                at_once = max(1, 2_000_000 // len(values))  # bounds the memory, not the resamples
+                means = [rng.multinomial(n, shares, min(at_once, resamples - i)) @ values / n for i in range(0, resamples, at_once)]
+                bounds.append(np.quantile(np.concatenate(means), (0.025, 0.975)))
+            keep = [batch.column(c) for c in (*by, "n")]
+            ends = [pa.array([b[i] for b in bounds], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(keep + ends, names=[*by, "n", "ci_low", "ci_high"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in groups.select(*by, "n").schema.fields)
+    got = seeded.mapInArrow(draw, f"{kinds}, ci_low double, ci_high double")
+    return got.withColumns({c: F.round(c, 6) for c in ("ci_low", "ci_high")})
+
+
 def length_controlled(winrate: DataFrame, by: list[str], steps: int = 8) -> DataFrame:
     """Win rate at equal lengths: logistic fit on [1, length difference / population std] over decisive rows.
 

@@ -495,8 +495,14 @@ def winrate_report(s, d):
     "SELECT x, first(n)::BIGINT AS n, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM ms GROUP BY x"
 )
 def bootstrap_ci_hash(s, d):
+    """200 hashed resamples, as many as its SQL draws; bootstrap_ci has M1's 10,000."""
     w = winrate(s, d).filter(F.col("outcome").isNotNull())
-    return evalstats.bootstrap(w, ["x"], "outcome", F.col("prompt_id"))
+    return evalstats.bootstrap(w, ["x"], "outcome", F.col("prompt_id"), 200)
+
+
+@query()
+def bootstrap_ci(s, d):
+    return evalstats.bootstrap_draws(winrate(s, d), ["x"], "outcome")
 
 
 def _newton_sql(steps: int = 8) -> str:
