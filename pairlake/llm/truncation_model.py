@@ -25,6 +25,9 @@ DECOR = re.compile(r"(?:\s*(?:[:;]-?[)(DPp]|[\U0001F000-\U0001FAFF\u2600-\u27BF\
 TERMINATED = re.compile(r"[.!?。！？]$")
 TOKEN = re.compile(r"\S+")
 STRUCT = re.compile(r'["\\{}\[\]]')
+OBJECT = re.compile(r'\{\s*(?:"|\}|$)')
+#: What follows an element of an array: its end, another element, or the end of the text.
+GOES_ON = re.compile(r'\s*(?:\]|(?:,\s*)?$|,\s*(?:["{\[\d-]|true\b|false\b|null\b))')
 LIST_MARK = re.compile(r"(?:^|\n)\s*(?:[-*•]|\d+[.)])$")
 PLAIN_END = frozenset(".!?")
 LAST_NUMBER = re.compile(r"\n\s*\d+\.$")
@@ -35,33 +38,47 @@ EDGE = "\"'“”„«»‹›()[]{}*_`.,;:!?¡¿…<>|#=~"
 WHOLE_SQL = r"(?s)^[^`{]*[^.\s`{…\n][.!?][\"'”»)*_]*\s*$"
 
 
-def json_state(text: str) -> int:
-    """0: no object begins here, 1: an object begins and closes, 2: the text ends inside an object."""
-    start = re.search(r'\{\s*(?:"|\}|$)', text)
-    if not start:
-        return 0
-    stack: list[str] = []
-    in_string = False
-    skip = -1
-    for m in STRUCT.finditer(text, start.start()):
-        at, ch = m.start(), m.group()
-        if at == skip:
-            continue
-        if in_string:
-            if ch == "\\":
-                skip = at + 1
+def json_scan(text: str) -> tuple[int, int]:
+    """(state, where the last closed object or array ends).
+
+    State 0: no object begins here, 1: all objects and the arrays around them close, 2: the text ends inside one.
+    """
+    state, pos = 0, 0
+    while start := OBJECT.search(text, pos):
+        first = start.start()
+        outer = text[pos:first]
+        stack = ["["] * outer[len(outer.rstrip("[ \t\r\n")) :].count("[")
+        around = len(stack)  # brackets that may be of an array, or of prose
+        in_string = False
+        skip = -1
+        end = -1
+        for m in STRUCT.finditer(text, first):
+            at, ch = m.start(), m.group()
+            if at == skip:
+                continue
+            if in_string:
+                if ch == "\\":
+                    skip = at + 1
+                elif ch == '"':
+                    in_string = False
             elif ch == '"':
-                in_string = False
-        elif ch == '"':
-            in_string = True
-        elif ch in "{[":
-            stack.append(ch)
-        elif ch in "}]":
-            if stack and (stack[-1] == "{") == (ch == "}"):
-                stack.pop()
-            if not stack:
-                return 1
-    return 2
+                in_string = True
+            elif ch in "{[":
+                stack.append(ch)
+            elif ch in "}]":
+                if stack and (stack[-1] == "{") == (ch == "}"):
+                    stack.pop()
+                if len(stack) <= around and (not stack or not GOES_ON.match(text, at + 1)):
+                    end = at + 1  # all is closed, or the bracket before the object is no array's
+                    break
+        if end < 0:
+            return 2, pos
+        state, pos = 1, end
+    return state, pos
+
+
+def json_state(text: str) -> int:
+    return json_scan(text)[0]
 
 
 def _key(raw: str) -> str:
@@ -193,16 +210,17 @@ class BoundaryModel:
         hard = bool(mark and HARD_MARK.search(mark.group()))
         if not stem:
             return False
-        state = json_state(stem)
-        if state == 1:
-            return False
+        state, end = json_scan(stem)
+        rest = stem[end:].lstrip()  # prose after the last closed object
+        if state == 1 and not re.search(r"\w", rest):
+            return rest.endswith(",")
         if state == 2 or (stem.startswith("{") and "}" not in stem):
             return True
         if stem.count("```") % 2:
             return True
         if stem.endswith("```"):
             return False
-        bare = DECOR.sub("", stem).rstrip() or stem
+        bare = DECOR.sub("", rest).rstrip() or rest
         if LIST_MARK.search(bare):
             return True
         if TERMINATED.search(bare):
