@@ -34,7 +34,8 @@ LAST_NUMBER = re.compile(r"\n\s*\d+\.$")
 ITEM = re.compile(r"(?:[-*•]|\d+[.)])$")
 EDGE = "\"'“”„«»‹›()[]{}*_`.,;:!?¡¿…<>|#=~"
 
-#: The native form of the first test, for Spark: ends in a terminator and has no structure worth a stack.
+#: Native tests, for Spark: ends in a terminator; the same and has no structure worth a stack (the first test).
+ENDS_SQL = r"[.!?。！？][\"'“”»›’)*_`\]]*\s*$"
 WHOLE_SQL = r"(?s)^[^`{]*[^.\s`{…\n][.!?][\"'”»)*_]*\s*$"
 
 
@@ -87,6 +88,8 @@ def _key(raw: str) -> str:
 
 class BoundaryModel:
     MIN_WORD = 5
+    #: Where the text ends inside a word; no habit of its source speaks against that.
+    IN_WORD = 0.02
     #: Beginnings are kept up to so many characters, so that one endless word cannot fill the memory.
     LONGEST_WORD = 40
 
@@ -187,7 +190,7 @@ class BoundaryModel:
         if not tokens:
             return 1.0
         if self.partial_word(tokens[-1]):
-            return 0.02
+            return self.IN_WORD
         one_case = stem == stem.lower() or stem == stem.upper()
         shapes = [*self.opening(tokens[0]), *(self.shape(t, one_case) for t in tokens)]
         p = self.prior
@@ -196,7 +199,15 @@ class BoundaryModel:
             p = (b + p * 1.5) / (b + c + 1.5)
         return p
 
-    def is_cut(self, text: str | None) -> bool:
+    def source_prior(self, rate: float, pooled: float) -> float:
+        """The prior of a source of which so many texts end without terminator, where all sources together have pooled.
+
+        Sources are taken to be cut alike (pooled x (1 - prior) of all texts); what a source omits beyond that is habit.
+        """
+        return min(0.95, max(0.05, 1 - pooled * (1 - self.prior) / rate)) if rate > 0 else self.prior
+
+    def is_cut(self, text: str | None, prior: float | None = None) -> bool:
+        """``prior``: that of the text's source, in place of the fitted sample's."""
         if text is None:
             return False
         text = text.rstrip()
@@ -229,4 +240,8 @@ class BoundaryModel:
             return True
         if bare[-1] in ",;:(-–—/&" or (bare[-1] == "[" or bare.endswith("\\")):
             return True
-        return self.p_end(bare) < (0.9 if hard else 0.5)
+        p = self.p_end(bare)
+        if prior is not None and p > self.IN_WORD:
+            shift = prior * (1 - self.prior) / (self.prior * (1 - prior))
+            p = p * shift / (p * shift + 1 - p)
+        return p < (0.9 if hard else 0.5)
