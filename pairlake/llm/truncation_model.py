@@ -36,7 +36,7 @@ EDGE = "\"'“”„«»‹›()[]{}*_`.,;:!?¡¿…<>|#=~"
 
 #: Native tests, for Spark: ends in a terminator; the same and has no structure worth a stack (the first test).
 ENDS_SQL = r"[.!?。！？][\"'“”»›’)*_`\]]*\s*$"
-WHOLE_SQL = r"(?s)^[^`{]*[^.\s`{…\n][.!?][\"'”»)*_]*\s*$"
+WHOLE_SQL = r"(?s)^(?!(?:.*\n)?[ \t]*\d+\.[\"'”»)*_]*\s*$)[^`{]*[^.\s`{…\n][.!?][\"'”»)*_]*\s*$"
 
 
 def json_scan(text: str) -> tuple[int, int]:
