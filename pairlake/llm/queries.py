@@ -36,6 +36,8 @@ def queries() -> dict[str, Query]:
         ),
         "p4_found": lambda s, d: p4_split_overlap.p4_pairs(table(s, d, "prompts")),
         "p4_report": lambda s, d: p4_split_overlap.overlap_report(table(s, d, "prompts")),
+        "p4_class_pairs": lambda s, d: p4_split_overlap.class_overlaps(table(s, d, "prompts")),
+        "p4_members": lambda s, d: p4_split_overlap.memberships(table(s, d, "prompts")),
         "p5_found": lambda s, d: p5_consensus.consensus(table(s, d, "verdicts"))[0].select("prompt_id", "source", "best"),
         "p5_items": lambda s, d: p5_consensus.consensus(table(s, d, "verdicts"))[0],
         "p5_judges": lambda s, d: p5_consensus.consensus(table(s, d, "verdicts"))[1],
