@@ -50,32 +50,28 @@ FEW_LINKS = 200_000
 HOT_CLASS, SLOTS = 10_000, 32
 
 
-def _capitals(text: Column) -> Column:
-    """Case-folded words that begin with a capital inside a sentence; none where most words have capitals."""
-    tokens = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
-    capital = F.regexp_count(text, F.lit(r"(?<![\p{L}\p{M}\p{N}])\p{Lu}"))
-    inside = F.regexp_extract_all(text, F.lit(r"(?<=[\p{Ll}\p{N}],? )(\p{Lu}[\p{L}\p{M}\p{N}]+)"), F.lit(1))
-    return F.when(capital > 0.6 * F.size(tokens), F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(inside, fold))
-    )
+def _capitals(text: Column, n_words: Column) -> Column:
+    """Case-folded words that begin with a capital inside a sentence; none in a text in capitals, or where most words have one."""
+    inside = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{Ll}\p{N}],? (?=(\p{Lu}[\p{L}\p{M}\p{N}]++))"), F.lit(1)), fold))
+    none = F.array().cast("array<string>")
+    return F.when((F.size(inside) > 0.6 * n_words) | (text == F.upper(text)), none).otherwise(inside)
 
 
 def _records(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str) -> DataFrame:
-    """(id, train, class, words, text), one row per usable record."""
+    """(id, train, class, words, names), one row per usable record, written once: texts are taken apart a single time."""
     text = strip(F.col(text_col))
-    return (
+    return written(
         df.select(F.col(id_col).cast("string").alias("id"), (F.col(split_col) == train).alias("train"), text.alias("text"))
         .filter(F.col("id").isNotNull() & F.col("train").isNotNull() & F.col("text").isNotNull())
-        .withColumn("words", F.array_sort(F.array_distinct(words(F.col("text")))))
-        .withColumn("class", F.unhex(F.md5(F.array_join("words", " "))))
+        .withColumn("words", F.sort_array(F.array_distinct(words(F.col("text")))))
+        .select("id", "train", F.unhex(F.md5(F.array_join("words", " "))).alias("class"), "words", _capitals(F.col("text"), F.size("words")).alias("names"))
     )
 
 
 def _classes(records: DataFrame) -> DataFrame:
-    """(class, cid, words, names, n_train, n_eval), written once. cid is the first half of class, for the keys."""
+    """(class, cid, words, names, n_train, n_eval), written once. cid is a 64-bit hash of class, for the keys."""
     got = (
-        records.withColumn("names", _capitals(F.col("text")))
-        .groupBy("class")
+        records.groupBy("class")
         .agg(
             F.first("words").alias("words"),
             # a class's members have the same words, so this set is no longer than they are
