@@ -194,9 +194,9 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD, rare_share: in
             return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(col.offsets.to_numpy()).astype(np.int64)
 
         for batch in batches:
-            cid, flags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            h, n = flat(batch.column(2))
-            caps, n_caps = flat(batch.column(3))
+            cid = batch.column(0).to_numpy()
+            h, n = flat(batch.column(1))
+            caps, n_caps = flat(batch.column(2))
             of = np.repeat(np.arange(len(n)), n_caps)
             names = np.bincount(of, weights=df_of(caps) <= rare, minlength=len(n)).astype(int)
             row, key, room = record_keys(h, n, df_of(h), names, t, rare, cold)
@@ -209,23 +209,23 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD, rare_share: in
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key[part].astype(np.int64)), pa.array(cid[r]), pa.array((n[r] << 32) | room[part]),
-                        pa.array(sign[r].astype(np.int64)), pa.array(flags[r]),
+                        pa.array(sign[r].astype(np.int64)),
                     ],
-                    names=["key", "cid", "size", "sign", "sides"],
+                    names=["key", "cid", "size", "sign"],
                 )
 
-    hashed = classes.filter("size(words) > 0").select(
-        "cid", ((F.col("n_eval") > 0).cast("int") + F.when(F.col("n_train") > 0, 2).otherwise(0)).cast("int").alias("sides"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.transform("names", lambda w: F.xxhash64(w)).alias("c"),
-    )
-    keyed = hashed.mapInArrow(keys, "key long, cid long, size long, sign long, sides int")
-    side = lambda bit, s: keyed.filter(F.col("sides").bitwiseAND(bit) > 0).select(
-        "key", F.col("cid").alias(f"cid_{s}"), F.shiftright("size", 32).alias(f"n_{s}"),
-        F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).alias(f"room_{s}"), F.col("sign").alias(f"sign_{s}"),
-    )
+    def side(which: str, s: str) -> DataFrame:
+        hashed = classes.filter(f"{which} > 0 AND size(words) > 0").select(
+            "cid", F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.transform("names", lambda w: F.xxhash64(w)).alias("c")
+        )
+        return hashed.mapInArrow(keys, "key long, cid long, size long, sign long").select(
+            "key", F.col("cid").alias(f"cid_{s}"), F.shiftright("size", 32).alias(f"n_{s}"),
+            F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).alias(f"room_{s}"), F.col("sign").alias(f"sign_{s}"),
+        )
+
     need = F.ceil(F.lit(t) / (1 + t) * (F.col("n_e") + F.col("n_t")) - 1e-9)
     found = (
-        side(1, "e").join(side(2, "t"), "key")
+        side("n_eval", "e").join(side("n_train", "t"), "key")
         .filter(
             (F.col("cid_e") != F.col("cid_t"))
             & (F.least("n_e", "n_t") >= F.lit(t) * F.greatest("n_e", "n_t") - 1e-9)
