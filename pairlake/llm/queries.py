@@ -41,6 +41,7 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: p5_consensus.consensus(table(s, d, "verdicts"))[0].select("prompt_id", "source", "best"),
         "p5_items": lambda s, d: p5_consensus.consensus(table(s, d, "verdicts"))[0],
         "p5_judges": lambda s, d: p5_consensus.consensus(table(s, d, "verdicts"))[1],
+        "p5_agreement": lambda s, d: p5_consensus.agreement_compared(table(s, d, "verdicts"), table(s, d, "pairs")),
         "p6_found": lambda s, d: p6_format_duplicates.format_duplicates(table(s, d, "prompts")),
         "p6_copies": lambda s, d: p6_format_duplicates.copies_report(table(s, d, "prompts")),
         "p7_pack": lambda s, d: p7_packing.pack_documents(table(s, d, "documents"), table(s, d, "pack_limits")),
