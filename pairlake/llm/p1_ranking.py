@@ -6,10 +6,13 @@ strength s is what decides when both answers are equally long. Ridge penalty on
 Method: rows are first aggregated to win counts per (x, y, length difference); the fit then runs on those counts
 by minorisation-maximisation. Each step maximises a quadratic that lies below the likelihood and touches it
 (curvature tanh(eta / 2) / (2 eta), at most 1/4), so the likelihood never falls. Up to ``LOCAL_ITEMS`` items
-(size checked) the quadratic is solved as a whole on the driver from sums that the executors make in one pass a
-step; beyond it the quadratic is separated by item and the strengths stay a distributed table. Standard errors come from the
-curvature at the fit. Connected components of the comparison graph are found by distributed label spreading;
-strengths of different components are only comparable through the penalty, so the component is reported.
+(size checked) the quadratic is solved as a whole on the driver from sparse sums that the executors make in one pass a
+step; beyond it the quadratic is separated by item, the strengths stay a distributed table and steps are extrapolated
+(with restarts). The penalised likelihood has one maximum, so both give the same strengths; either raises if it has not
+converged. std_error comes from each item's own curvature at the fit, at any size; joint_error, from the whole inverse
+curvature and relative to the mean, needs the whole matrix and is null beyond LOCAL_ITEMS. Connected components of the
+comparison graph are found by distributed label spreading; strengths of different components are only comparable
+through the penalty, so the component is reported.
 
 Defined cases: rows with a null outcome, a null item or x = y carry no comparison and are left out; each key
 (x, y, prompt_id) counts once (the latest delivery); a null length means that the difference is unknown: such
@@ -27,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import bounded_rows, materialise
+from ..runtime import bounded_rows, materialise, written
 
 LOCAL_ITEMS = 500
 RIDGE = 0.1
 TOLERANCE = 1e-5
-MAX_STEPS = 400
+MAX_STEPS = 1_000
 
 
 def comparisons(df: DataFrame) -> DataFrame:
@@ -60,12 +63,15 @@ def win_counts(df: DataFrame) -> DataFrame:
     return counts.join(mean, ["x", "y"]).select("x", "y", F.coalesce("d", "m", F.lit(0.0)).alias("d"), "n", "w")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(item, component): smallest item reachable; labels spread along edges and jump to their label's label."""
-    e = materialise(edges.select("x", "y").distinct())
+def components(edges: DataFrame) -> DataFrame:
+    """(item, component): smallest item reachable; labels spread along edges and jump to their label's label.
+
+    Labels only fall and there are finitely many, so the rounds end; jumps make them about the logarithm of the longest path.
+    """
+    e = written(edges.select("x", "y").distinct())
     both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
     labels = both.select(F.col("x").alias("item")).distinct().withColumn("component", F.col("item"))
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels.select(F.col("item").alias("y"), "component"), "y")
             .groupBy(F.col("x").alias("item"))
@@ -73,98 +79,118 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         spread = labels.join(near, "item").select("item", F.least("component", "near").alias("next"), "component")
         jump = spread.select(F.col("item").alias("next"), F.col("next").alias("far"))
-        new = materialise(
+        new = written(
             spread.join(jump, "next", "left").select("item", F.least("next", F.coalesce("far", "next")).alias("new"), "component")
         )
         labels = new.select("item", F.col("new").alias("component"))
         if new.filter(F.col("new") != F.col("component")).limit(1).count() == 0:
             return labels
-    raise RuntimeError("components: no fixed point within the rounds allowed")
 
 
-def _local_fit(counts: DataFrame, items: list[str], scale: float, ridge: float) -> tuple[np.ndarray, np.ndarray, float]:
+def _local_fit(counts: DataFrame, items: list[str], scale: float, ridge: float, steps: int, tolerance: float):
+    """(strengths, own errors, joint errors, length effect)."""
     index = {v: i for i, v in enumerate(items)}
     k = len(items)
 
     def step(theta: np.ndarray, exact: bool = False):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            grad = np.zeros(k + 1)
-            h = np.zeros((k + 1, k + 1))
-            loglik = 0.0
+            """Sums of the gradient (cell i, -1) and of the curvature (cell i, j), only those that occur."""
+            sums: dict[int, float] = {}
             for b in batches:
-                x = np.array([index[v] for v in b.column(0).to_pylist()], dtype=int)
-                y = np.array([index[v] for v in b.column(1).to_pylist()], dtype=int)
+                x = np.array([index[v] for v in b.column(0).to_pylist()], dtype=np.int64)
+                y = np.array([index[v] for v in b.column(1).to_pylist()], dtype=np.int64)
                 d, n, w = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
                 z = d / scale
                 eta = theta[x] - theta[y] + theta[k] * z
                 p = 1 / (1 + np.exp(-eta))
                 r = w - n * p
-                np.add.at(grad, x, r)
-                np.subtract.at(grad, y, r)
-                grad[k] += float(r @ z)
-                loglik += float(np.sum(w * -np.logaddexp(0, -eta) + (n - w) * -np.logaddexp(0, eta)))
                 size = np.abs(eta)
                 c = n * (p * (1 - p) if exact else np.where(size < 1e-4, 0.25, np.tanh(size / 2) / np.maximum(2 * size, 1e-4)))
-                for i, j, v in ((x, x, c), (y, y, c), (x, y, -c), (y, x, -c)):
-                    np.add.at(h, (i, j), v)
-                for i, v in ((x, c * z), (y, -c * z)):
-                    np.add.at(h[:, k], i, v)
-                    np.add.at(h[k, :], i, v)
-                h[k, k] += float(c @ (z * z))
-            flat = np.concatenate([[loglik], grad, h.ravel()])
-            keep = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(flat[keep])], names=["i", "v"])
-
-        got = np.zeros(1 + k + 1 + (k + 1) ** 2)
+                at = np.full(len(x), k)
+                cell = lambda i, j: i * (k + 2) + j + 1
+                cells = [cell(x, -1), cell(y, -1), cell(at, -1), cell(x, x), cell(y, y), cell(x, y), cell(y, x), cell(x, at), cell(y, at), cell(at, x), cell(at, y), cell(at, at)]
+                values = [r, -r, r * z, c, c, -c, -c, c * z, -c * z, c * z, -c * z, c * z * z]
+                keys, inverse = np.unique(np.concatenate(cells), return_inverse=True)
+                for key, v in zip(keys.tolist(), np.bincount(inverse, weights=np.concatenate(values)).tolist()):
+                    sums[key] = sums.get(key, 0.0) + v
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.float64())], names=["i", "v"])
+
+        got = np.zeros((k + 1) * (k + 2))
         for row in counts.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
             got[row.i] = row.v
-        return got[0], got[1 : k + 2], got[k + 2 :].reshape(k + 1, k + 1)
+        got = got.reshape(k + 1, k + 2)
+        return got[:, 0], got[:, 1:]
 
     penalty = np.full(k + 1, ridge)
     penalty[k] = 1e-6
     theta = np.zeros(k + 1)
-    for _ in range(MAX_STEPS):
-        _, grad, bound = step(theta)
+    for _ in range(steps):
+        grad, bound = step(theta)
         move = np.linalg.solve(bound + np.diag(penalty), grad - penalty * theta)
         theta = theta + move
-        if np.abs(move).max() < TOLERANCE:
+        if np.abs(move).max() < tolerance:
             break
-    _, _, h = step(theta, exact=True)
-    cov = np.linalg.inv(h + np.diag(penalty))
+    else:
+        raise RuntimeError(f"ranking: strengths still move by {np.abs(move).max():.2g} after {steps} steps")
+    h = step(theta, exact=True)[1] + np.diag(penalty)
+    cov = np.linalg.inv(h)
     free = np.eye(k + 1)
     free[:k, :k] -= 1.0 / k  # errors of strengths relative to their mean
-    se = np.sqrt(np.maximum(np.diag(free @ cov @ free.T), 0))
-    return theta - np.append(np.full(k, theta[:k].mean()), 0), se, theta[k] / scale
+    joint = np.sqrt(np.maximum(np.diag(free @ cov @ free.T), 0))
+    return theta[:k] - theta[:k].mean(), 1 / np.sqrt(np.diag(h)[:k]), joint[:k], theta[k] / scale
 
 
 def _distributed_fit(counts: DataFrame, scale: float, ridge: float, steps: int, tolerance: float) -> tuple[DataFrame, float]:
-    """Separable minoriser: item-wise curvature bounds; the strengths stay a table. (item, strength, std_error)"""
+    """Separable minoriser with extrapolation: item-wise curvature bounds; the strengths stay a table.
+
+    (item, strength, std_error) and the length effect. Tables are written each step: checkpoints hand on constraints.
+    """
     both = counts.select(F.col("x").alias("item"), F.col("y").alias("other"), (F.col("d") / scale).alias("z"), "n", "w").unionByName(
         counts.select(F.col("y").alias("item"), F.col("x").alias("other"), (-F.col("d") / scale).alias("z"), "n", (F.col("n") - F.col("w")).alias("w"))
     )
-    both = materialise(both)
-    weight = 2 + F.abs("z")
-    bound = materialise(both.groupBy("item").agg((F.sum(F.col("n") * weight) / 4 + ridge).alias("bound")))
-    b_bound = counts.agg((F.sum(F.col("n") * F.abs(F.col("d") / scale) * (2 + F.abs(F.col("d") / scale))) / 4).alias("v")).first().v + 1e-6
-    theta, b = materialise(bound.select("item", "bound", F.lit(0.0).alias("s"))), 0.0
-    p = 1 / (1 + F.exp(-(F.col("s") - F.col("s_other") + F.col("z") * F.col("b"))))
+    both = written(both)
+    size = F.abs("z")
+    table = written(both.groupBy("item").agg((F.sum(F.col("n") * (2 + size)) / 4 + ridge).alias("bound")).withColumns({"s": F.lit(0.0), "y": F.lit(0.0)}))
+    b_bound = both.agg(F.sum(F.col("n") * size * (2 + size)) / 8).first()[0] + 1e-6
+    b = b_y = 0.0
+    age = 1.0
+
+    def joined(at: str, effect: float) -> DataFrame:
+        mine = table.select("item", "bound", "s", F.col(at).alias("mine"))
+        other = table.select(F.col("item").alias("other"), F.col(at).alias("theirs"))
+        p = 1 / (1 + F.exp(-(F.col("mine") - F.col("theirs") + F.col("z") * effect)))
+        return both.join(mine, "item").join(other, "other").withColumn("p", p)
+
     for _ in range(steps):
-        joined = both.join(theta, "item").join(theta.select(F.col("item").alias("other"), F.col("s").alias("s_other")), "other").withColumn("b", F.lit(b))
-        resid = F.col("w") - F.col("n") * p
-        grads = joined.groupBy("item").agg(F.sum(resid).alias("g"), F.sum(resid * F.col("z")).alias("gb"))
-        new = materialise(theta.join(grads, "item").select("item", "bound", "s", (F.col("s") + (F.col("g") - ridge * F.col("s")) / F.col("bound")).alias("t"), "gb"))
-        row = new.agg(F.max(F.abs(F.col("t") - F.col("s"))).alias("m"), (F.sum("gb") / 2).alias("gb")).first()
-        theta, b = new.select("item", "bound", F.col("t").alias("s")), b + (row.gb - 1e-6 * b) / b_bound
-        if row.m < tolerance:
+        resid = F.col("w") - F.col("n") * F.col("p")
+        g = joined("y", b_y).groupBy("item").agg(
+            F.first("bound").alias("bound"), F.first("s").alias("old"), F.first("mine").alias("y"), F.sum(resid).alias("g"), F.sum(resid * F.col("z")).alias("gb")
+        )
+        new = written(g.withColumn("s", F.col("y") + (F.col("g") - ridge * F.col("y")) / F.col("bound")))
+        row = new.agg(
+            F.max(F.abs(F.col("s") - F.col("y"))).alias("m"), F.sum("gb").alias("gb"), F.sum((F.col("y") - F.col("s")) * (F.col("s") - F.col("old")) * F.col("bound")).alias("back")
+        ).first()
+        b_new = b_y + (row.gb / 2 - 1e-6 * b_y) / b_bound
+        back = row.back + (b_y - b_new) * (b_new - b) * b_bound
+        older, age = (1.0, 1.0) if back > 0 else (age, (1 + (1 + 4 * age * age) ** 0.5) / 2)  # a step against the last one: begin anew
+        ahead = 0.0 if back > 0 else (older - 1) / age
+        table = new.select("item", "bound", "s", (F.col("s") + ahead * (F.col("s") - F.col("old"))).alias("y"))
+        moved = max(row.m, abs(b_new - b_y))
+        b, b_y = b_new, b_new + ahead * (b_new - b)
+        if moved < tolerance:
             break
-    mean = theta.agg(F.avg("s").alias("m")).first().m
-    joined = both.join(theta, "item").join(theta.select(F.col("item").alias("other"), F.col("s").alias("s_other")), "other").withColumn("b", F.lit(b))
-    info = joined.groupBy("item").agg(F.first("s").alias("s"), (F.sum(F.col("n") * p * (1 - p)) + ridge).alias("h"))
-    return info.select("item", (F.col("s") - mean).alias("strength"), (1 / F.sqrt("h")).alias("std_error")), b / scale
+    else:
+        raise RuntimeError(f"ranking: strengths still move by {moved:.2g} after {steps} steps")
+    mean = table.agg(F.avg("s").alias("m")).first().m
+    info = joined("s", b).groupBy("item").agg(F.first("s").alias("s"), (F.sum(F.col("n") * F.col("p") * (1 - F.col("p"))) + ridge).alias("h"))
+    return written(info.select("item", (F.col("s") - mean).alias("strength"), (1 / F.sqrt("h")).alias("std_error"), F.lit(None).cast("double").alias("joint_error"))), b / scale
+
+
+FIT = "item string, strength double, std_error double, joint_error double"
 
 
 def ranking(df: DataFrame, ridge: float = RIDGE, local_items: int = LOCAL_ITEMS, steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(item, strength, std_error, n, component, length_effect, place), strongest first."""
+    """(item, strength, std_error, joint_error, n, component, length_effect, place), strongest first."""
     spark = df.sparkSession
     counts = materialise(win_counts(df))
     every = df.select(F.explode(F.array("x", "y")).alias("item")).filter(F.col("item").isNotNull()).distinct()
@@ -172,13 +198,11 @@ def ranking(df: DataFrame, ridge: float = RIDGE, local_items: int = LOCAL_ITEMS,
     scale = spread or 1.0
     names = counts.select(F.explode(F.array("x", "y")).alias("item")).distinct().orderBy("item").limit(local_items + 1).collect()
     if not names:
-        fit, effect = spark.createDataFrame([], "item string, strength double, std_error double"), 0.0
+        fit, effect = spark.createDataFrame([], FIT), 0.0
     elif len(names) <= local_items:
         items = [r.item for r in names]
-        theta, se, effect = _local_fit(counts, items, scale, ridge)
-        fit = spark.createDataFrame(
-            [(v, float(theta[i]), float(se[i])) for i, v in enumerate(items)], "item string, strength double, std_error double"
-        )
+        theta, own, joint, effect = _local_fit(counts, items, scale, ridge, steps, tolerance)
+        fit = spark.createDataFrame([(v, float(theta[i]), float(own[i]), float(joint[i])) for i, v in enumerate(items)], FIT)
     else:
         fit, effect = _distributed_fit(counts, scale, ridge, steps, tolerance)
     seen = counts.select(F.explode(F.array("x", "y")).alias("item"), "n").groupBy("item").agg(F.sum("n").cast("long").alias("n"))
@@ -190,6 +214,7 @@ def ranking(df: DataFrame, ridge: float = RIDGE, local_items: int = LOCAL_ITEMS,
             "item",
             F.coalesce("strength", F.lit(0.0)).alias("strength"),
             "std_error",
+            "joint_error",
             F.coalesce("n", F.lit(0)).cast("long").alias("n"),
             F.coalesce("component", "item").alias("component"),
             F.lit(effect).alias("length_effect"),
