@@ -29,6 +29,9 @@ OBJECT = re.compile(r'\{\s*(?:"|\}|$)')
 #: What follows an element of an array: its end, another element, or the end of the text.
 GOES_ON = re.compile(r'\s*(?:\]|(?:,\s*)?$|,\s*(?:["{\[\d-]|true\b|false\b|null\b))')
 LIST_MARK = re.compile(r"(?:^|\n)\s*(?:[-*•]|\d+[.)])$")
+#: The last line or part of a list of named fields.
+LAST_SEGMENT = re.compile(r"[^\n;|]*$")
+FIELD = re.compile(r"\s*[^\W\d_][\w-]*(?: [\w-]+){0,2}\s*[:=]\s*\S")
 PLAIN_END = frozenset(".!?")
 LAST_NUMBER = re.compile(r"\n\s*\d+\.$")
 ITEM = re.compile(r"(?:[-*•]|\d+[.)])$")
@@ -36,7 +39,17 @@ EDGE = "\"'“”„«»‹›()[]{}*_`.,;:!?¡¿…<>|#=~"
 
 #: Native tests, for Spark: ends in a terminator; the same and has no structure worth a stack (the first test).
 ENDS_SQL = r"[.!?。！？][\"'“”»›’)*_`\]]*\s*$"
-WHOLE_SQL = r"(?s)^(?!(?:.*\n)?[ \t]*\d+\.[\"'”»)*_]*\s*$)[^`{]*[^.\s`{…\n][.!?][\"'”»)*_]*\s*$"
+WHOLE_SQL = r"(?s)^(?!(?:.*\n)?[ \t]*\d+\.[\"'”»)*_]*\s*$)[^`{(\[\"“„«<\\]*[^.\s`{…\n][.!?][\"'”»)*_]*\s*$"
+
+
+#: Prose structures of the automaton: what opens them, what closes them, markup with an end tag, broken ends.
+STRUCTURED = re.compile(r"[`{(\[\"“„«<\\]")
+OPENERS = re.compile(r"[(\[\"“„«<]")
+CLOSERS = {"(": ")", "[": "]", '"': '"', "“": "”", "„": "“", "«": "»"}
+TAG = re.compile(r"<(/?)(p|b|i|u|em|strong|div|span|ul|ol|table|code|pre|a|h[1-6]|blockquote|body|html|answer|response)(?:\s[^<>]*)?>", re.IGNORECASE)
+BROKEN_END = re.compile(r"(?:<[a-zA-Z/][^<>\s]*(?:\s[^<>]*)?|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|&#?\w{1,8})$")
+PASSED_OVER = re.compile(r"```.*?```|`[^`\n]*`|[:;]-?[()\[\]]|\d\"", re.DOTALL)
+SENTENCE = re.compile(r"[.!?]\s+(?=\S)|\n")
 
 
 def json_scan(text: str) -> tuple[int, int]:
@@ -82,6 +95,40 @@ def json_state(text: str) -> int:
     return json_scan(text)[0]
 
 
+def left_open(text: str) -> bool:
+    """Does the text end inside brackets or quotes of its last sentence, inside markup, or inside an escape?
+
+    Code and emoticons are passed over; a closing bracket without an opening one ('a)') is no structure.
+    """
+    if BROKEN_END.search(text):
+        return True
+    if not OPENERS.search(text):
+        return False
+    text = PASSED_OVER.sub("", text)
+    tags: list[str] = []
+    for m in TAG.finditer(text):
+        if not m.group(1):
+            tags.append(m.group(2).lower())
+        elif m.group(2).lower() in tags:
+            del tags[len(tags) - 1 - tags[::-1].index(m.group(2).lower()) :]
+    if tags:
+        return True
+    start = 0
+    for m in SENTENCE.finditer(text):
+        start = m.end()
+    stack: list[str] = []
+    for i in range(start, len(text)):
+        ch = text[i]
+        if stack and ch == stack[-1]:
+            stack.pop()
+        elif ch == '"':  # a straight quote opens only before a word; behind one it closes, if anything
+            if (i == 0 or text[i - 1] in " \n(") and text[i + 1 : i + 2].strip():
+                stack.append(ch)
+        elif ch in CLOSERS:
+            stack.append(CLOSERS[ch])
+    return bool(stack)
+
+
 def _key(raw: str) -> str:
     return re.sub(r"\d+", "0", raw.strip(EDGE).lower())
 
@@ -92,6 +139,10 @@ class BoundaryModel:
     IN_WORD = 0.02
     #: Beginnings are kept up to so many characters, so that one endless word cannot fill the memory.
     LONGEST_WORD = 40
+    #: Texts of so few words are whole where the sample's texts that begin like them mostly end there too.
+    FEW_WORDS, TIMES = 4, 3
+    #: Fields ('Tone: kind') end without terminator; their words must speak clearly for a cut.
+    FIELD_END = 0.1
 
     def __init__(self, prior: float = 0.5) -> None:
         self.prior = prior
@@ -99,10 +150,14 @@ class BoundaryModel:
         self.prefixes: dict[str, int] = {}
         self.grams: dict[tuple, list] = {}
         self.common: set[str] = set()
+        self.short: dict[tuple, int] = {}
+        self.begins: dict[tuple, int] = {}
 
     # -- fitting -----------------------------------------------------------------------------------------------
     def fit(self, texts: list[str]) -> "BoundaryModel":
         full: Counter = Counter()
+        begins: Counter = Counter()
+        short: Counter = Counter()
         parsed = []
         for text in texts:
             if not text or json_state(text):
@@ -112,12 +167,19 @@ class BoundaryModel:
             if not tokens:
                 continue
             parsed.append((text, tokens))
+            keys = tuple(_key(raw) for raw, _ in tokens[: self.FEW_WORDS])
+            for i in range(1, len(keys) + 1):
+                begins[keys[:i]] += 1
+            if len(tokens) <= self.FEW_WORDS:
+                short[keys] += 1
             last_open = not TERMINATED.search(text)
             for raw, _ in tokens[: len(tokens) - last_open]:
                 full[_key(raw)] += 1
                 for part in re.split(r"[-'’]", raw.strip(EDGE).lower())[:-1]:
                     full[part] += 0  # known as a part only
         self.words = {w: n for w, n in full.items() if n}
+        self.short = {k: n for k, n in short.items() if n >= self.TIMES}
+        self.begins = {k: begins[k] for k in self.short}
         self.common = {w for w, _ in full.most_common(60)} | {"<s>"}
         prefixes: Counter = Counter()
         for w, n in self.words.items():
@@ -179,6 +241,12 @@ class BoundaryModel:
         known, longer = self.words.get(key, 0), self.prefixes.get(key, 0)
         return (known == 0 and longer >= 1) or (known <= 2 and longer > 25 * known)
 
+    def known_whole(self, stem: str) -> bool:
+        """A few words that many texts of the sample consist of, and that seldom go on."""
+        tokens = TOKEN.findall(stem[:400])
+        keys = tuple(map(_key, tokens))
+        return len(tokens) <= self.FEW_WORDS and 2 * self.short.get(keys, 0) >= self.begins.get(keys, 1)
+
     def p_end(self, stem: str) -> float:
         """Probability that the last word of a stem without terminator ends a sentence or item."""
         line = stem.rsplit("\n", 1)[-1].strip()
@@ -211,7 +279,7 @@ class BoundaryModel:
         if text is None:
             return False
         text = text.rstrip()
-        if text[-1:] in PLAIN_END and text[-2:-1].isalnum() and "{" not in text and "`" not in text:
+        if text[-1:] in PLAIN_END and text[-2:-1].isalnum() and not STRUCTURED.search(text):
             if not LAST_NUMBER.search(text, max(0, len(text) - 8)):
                 return False  # the common case, without any scan of the text
         if not text.strip(EMPTY_MARKS) or STAND_IN.fullmatch(text):
@@ -231,6 +299,8 @@ class BoundaryModel:
             return True
         if stem.endswith("```"):
             return False
+        if left_open(rest):
+            return True
         bare = DECOR.sub("", rest).rstrip() or rest
         if LIST_MARK.search(bare):
             return True
@@ -240,7 +310,11 @@ class BoundaryModel:
             return True
         if bare[-1] in ",;:(-–—/&" or (bare[-1] == "[" or bare.endswith("\\")):
             return True
+        if not mark and self.known_whole(bare):
+            return False
         p = self.p_end(bare)
+        if not mark and p > self.FIELD_END and FIELD.match(LAST_SEGMENT.search(bare).group()):
+            return False
         if prior is not None and p > self.IN_WORD:
             shift = prior * (1 - self.prior) / (self.prior * (1 - prior))
             p = p * shift / (p * shift + 1 - p)
