@@ -32,7 +32,7 @@ from ..runtime import materialise, written
 
 MAX_JUDGES = 500_000
 STEPS = 40
-TOLERANCE = 1e-3
+TOLERANCE = 5e-3
 INNER = 4
 PRIOR_SKILL, PRIOR_VAR = 1.5, 4.0
 PRIOR_WORST = 1.0
