@@ -19,6 +19,12 @@ def hash32(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
 
 
+def request_key(fields: dict[str, Column]) -> Column:
+    """sha256 of the whole request as JSON with sorted keys: nulls are kept, so no two requests run into one another."""
+    ordered = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+    return F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256)
+
+
 def last_match(c: Column, pattern: str, group: int) -> Column:
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
     return F.when(F.size(found) > 0, F.element_at(found, -1))

@@ -60,28 +60,6 @@ def wilson(p: Column, n: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), mid - rad), F.least(F.lit(1.0), mid + rad)
 
 
-def bootstrap(outcomes: DataFrame, by: list[str], value: str, key: Column, resamples: int = 10_000) -> DataFrame:
-    """Percentile interval of the mean by hashed resampling.
-
-    Draw b of a group of n takes, for each of its n places, the row numbered hash(b, place) mod n; so a row's copies
-    in a draw are counted by joining places to rows. Rows are first counted per distinct value, so the resampling
-    runs over the few distinct values with their cumulative counts and grows with resamples x places only.
-    """
-    per = outcomes.groupBy(*by, value).agg(F.count("*").alias("c"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by).orderBy(value)
-    cum = per.withColumns({"hi": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy(*by))}).withColumn("lo", F.col("hi") - F.col("c"))
-    groups = cum.groupBy(*by).agg(F.first("n").alias("n"), F.collect_list(F.struct("lo", "hi", value)).alias("steps"))
-    draws = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("place", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    at = hash32(F.concat_ws("|", F.col("b").cast("string"), F.col("place").cast("string"), *by)) % F.col("n")
-    hit = F.element_at(F.filter("steps", lambda s: (at >= s["lo"]) & (at < s["hi"])), 1)[value]
-    means = draws.select(*by, "b", "n", hit.alias("v")).groupBy(*by, "b").agg(F.first("n").alias("n"), (F.sum("v") / F.count("*")).alias("m"))
-    return means.groupBy(*by).agg(
-        F.first("n").alias("n"), F.round(F.percentile("m", 0.025), 6).alias("ci_low"), F.round(F.percentile("m", 0.975), 6).alias("ci_high")
-    )
-
-
 def bootstrap_draws(outcomes: DataFrame, by: list[str], value: str, resamples: int = 10_000) -> DataFrame:
     """Percentile interval of the mean over all resamples, each a multinomial draw over a group's distinct values.
 
@@ -111,32 +89,39 @@ def bootstrap_draws(outcomes: DataFrame, by: list[str], value: str, resamples: i
     return got.withColumns({c: F.round(c, 6) for c in ("ci_low", "ci_high")})
 
 
-def length_controlled(winrate: DataFrame, by: list[str], steps: int = 8) -> DataFrame:
+def length_controlled(winrate: DataFrame, by: list[str], steps: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """Win rate at equal lengths: logistic fit on [1, length difference / population std] over decisive rows.
 
-    A fixed number of Newton steps on sums; groups with under ten rows or one class give null.
+    Rows are counted per length difference first, so a group is as long as its distinct differences. Groups with under ten
+    rows, one class, one length difference or a fit that does not settle (separable data) give null.
     """
     rows = winrate.filter(F.col("outcome").isin(0.0, 1.0) & F.col("len_x").isNotNull() & F.col("len_y").isNotNull())
-    counts = rows.groupBy(*by, (F.col("len_x") - F.col("len_y")).cast("double").alias("d")).agg(F.count("*").cast("double").alias("n"), F.sum("outcome").alias("w"))
-    stats = counts.groupBy(*by).agg(
-        F.sum("n").alias("m"), F.sum("w").alias("wins"),
-        F.sqrt(F.sum(F.col("n") * F.col("d") * F.col("d")) / F.sum("n") - F.pow(F.sum(F.col("n") * F.col("d")) / F.sum("n"), 2)).alias("sd"),
-    )
-    fit = stats.select(*by, "m", "wins", "sd", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    for _ in range(steps):
-        j = counts.join(fit.filter("m >= 10 AND wins > 0 AND wins < m AND sd > 0"), by)
-        z = F.col("d") / F.col("sd")
-        p = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * z)))
-        v = F.col("n") * p * (1 - p)
-        r = F.col("w") - F.col("n") * p
-        s = j.groupBy(*by).agg(
-            F.first("m").alias("m"), F.first("wins").alias("wins"), F.first("sd").alias("sd"), F.first("a").alias("a"), F.first("b").alias("b"),
-            F.sum(r).alias("g0"), F.sum(r * z).alias("g1"), F.sum(v).alias("h00"), F.sum(v * z).alias("h01"), F.sum(v * z * z).alias("h11"),
-        )
-        det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-        fit = s.select(
-            *by, "m", "wins", "sd", (F.col("a") + (F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")) / det).alias("a"),
-            (F.col("b") + (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / det).alias("b"),
-        )
-    done = fit.select(*by, (1 / (1 + F.exp(-F.col("a")))).alias("p"))
-    return stats.join(done, by, "left").select(*by, F.col("m").cast("long").alias("n"), F.round("p", 4).alias("lc_win_rate"))
+    counts = rows.groupBy(*by, (F.col("len_x") - F.col("len_y")).cast("double").alias("_d")).agg(F.count("*").cast("double").alias("_n"), F.sum("outcome").alias("_w"))
+    groups = counts.groupBy(*by).agg(F.sum("_n").cast("long").alias("n"), F.sort_array(F.collect_list(F.struct("_d", "_n", "_w"))).alias("_v"))
+    flat = groups.select(*by, "n", *[F.col(f"_v.{c}").alias(c) for c in ("_d", "_n", "_w")])
+
+    def fit(d: np.ndarray, n: np.ndarray, w: np.ndarray) -> float | None:
+        m, wins = n.sum(), w.sum()
+        sd = np.sqrt(max((n * d * d).sum() / m - ((n * d).sum() / m) ** 2, 0.0))
+        if m < 10 or wins in (0, m) or sd == 0:
+            return None
+        x = np.stack([np.ones(len(d)), d / sd])
+        beta = np.zeros(2)
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(beta @ x, -500, 500)))
+            h = (x * (n * p * (1 - p))) @ x.T
+            if not np.isfinite(h).all() or np.linalg.cond(h) > 1e12:
+                return None
+            move = np.linalg.solve(h, x @ (w - n * p))
+            beta = beta + move
+            if np.abs(move).max() < tolerance:
+                return float(1 / (1 + np.exp(-beta[0])))
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [fit(*map(np.array, r)) for r in zip(*(b.column(c).to_pylist() for c in ("_d", "_n", "_w")))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*by, "n")), pa.array(got, pa.float64())], names=[*by, "n", "lc_win_rate"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.select(*by, "n").schema.fields)
+    return flat.mapInArrow(run, f"{kinds}, lc_win_rate double").withColumn("lc_win_rate", F.round("lc_win_rate", 4))

@@ -31,13 +31,15 @@ def score_rows(verdicts: DataFrame) -> DataFrame:
 
 
 def vote(verdicts: DataFrame, seed: int = 1234) -> DataFrame:
-    """Preference per (prompt_id, source): candidates with the highest and lowest integer total; ties by a hash.
+    """Preference per (prompt_id, source): candidates with the highest and lowest mean total; ties by a hash.
+
+    Means, as a candidate may be scored by fewer verdicts than others; equal ratios of whole numbers are equal doubles.
 
     No row where fewer than two candidates or all totals are equal. agreement: share of verdicts that score chosen
     above rejected, ties half.
     """
     v = with_totals(verdicts).filter("valid").select("prompt_id", "source", "totals")
-    per = v.select("prompt_id", "source", F.posexplode("totals").alias("cand", "t")).groupBy("prompt_id", "source", "cand").agg(F.sum("t").alias("t"))
+    per = v.select("prompt_id", "source", F.posexplode("totals").alias("cand", "t")).groupBy("prompt_id", "source", "cand").agg((F.sum("t") / F.count("t")).alias("t"))
     coin = hash32(F.concat_ws("|", F.lit(str(seed)), "prompt_id", "source", F.col("cand").cast("string")))
     best = (
         per.withColumn("coin", coin)
@@ -60,12 +62,33 @@ def vote(verdicts: DataFrame, seed: int = 1234) -> DataFrame:
 
 
 def devils_advocate(verdicts: DataFrame) -> DataFrame:
-    """Per item the candidate with the lowest total of round 1, first index on ties."""
+    """Per item the candidate with the lowest mean total of round 1, first index on ties."""
     v = with_totals(verdicts).filter("valid AND round = 1")
-    per = v.select("prompt_id", "source", F.posexplode("totals").alias("cand", "t")).groupBy("prompt_id", "source", "cand").agg(F.sum("t").alias("t"))
+    per = v.select("prompt_id", "source", F.posexplode("totals").alias("cand", "t")).groupBy("prompt_id", "source", "cand").agg((F.sum("t") / F.count("t")).alias("t"))
     return per.groupBy("prompt_id", "source").agg(F.min_by("cand", F.struct("t", "cand")).cast("long").alias("target"))
 
 
+def peer_targets(verdicts: DataFrame) -> DataFrame:
+    """Per item and judge the candidate with the lowest mean total of the other judges' round 1: (prompt_id, source, judge, target).
+
+    The judge's own verdicts are taken off the item's sums, so no pairs of judges are formed.
+    """
+    v = with_totals(verdicts).filter("valid AND round = 1").select("prompt_id", "source", "judge", F.posexplode("totals").alias("cand", "t"))
+    own = v.groupBy("prompt_id", "source", "judge", "cand").agg(F.sum("t").alias("s"), F.count("t").alias("n"))
+    every = own.groupBy("prompt_id", "source", "cand").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    judges = own.select("prompt_id", "source", "judge").distinct()
+    mine = own.select("prompt_id", "source", "cand", "judge", "s", "n")
+    j = every.join(judges, ["prompt_id", "source"]).join(mine, ["prompt_id", "source", "cand", "judge"], "left")
+    rest = j.select("prompt_id", "source", "judge", "cand", (F.col("all_s") - F.coalesce("s", F.lit(0))).alias("s"), (F.col("all_n") - F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0")
+    return rest.groupBy("prompt_id", "source", "judge").agg(F.min_by("cand", F.struct(F.col("s") / F.col("n"), F.col("cand"))).cast("long").alias("target"))
+
+
+def coerced_score(c: Column) -> Column:
+    """A score given as text: whole numbers, also as '4.0' and with blanks around; null for anything else."""
+    t = F.trim(c)
+    return F.when(t.rlike(r"^[+-]?[0-9]{1,9}(\.0*)?$"), F.regexp_extract(t, r"^([+-]?[0-9]+)", 1).cast("int"))
+
+
 def shown_position(perm: Column, cand: Column) -> Column:
     """0-based place in the shown order; null if it was not shown."""
     at = F.array_position(perm, cand)

@@ -77,22 +77,34 @@ def common_prompts(pairs: DataFrame) -> DataFrame:
 
 
 def nested_prefixes(pairs: DataFrame, order: Column, sizes: list[int]) -> DataFrame:
-    """Members of nested prefixes per condition: (condition, prompt_id, size) with size the smallest that holds it."""
+    """Members of nested prefixes per condition: (condition, prompt_id, size) with size the smallest that holds it.
+
+    A condition with fewer pairs than the largest size raises.
+    """
+    from ..runtime import bounded_rows
     from .prep import lowest_per_group
 
+    short = pairs.groupBy("condition").agg(F.countDistinct("prompt_id").alias("n")).filter(F.col("n") < max(sizes))
+    bad = bounded_rows(short, 10_000, "conditions")
+    if bad:
+        raise ValueError("too few pairs for the largest prefix: " + ", ".join(f"{r.condition} has {r.n}" for r in bad))
     low = lowest_per_group(pairs.select("condition", "prompt_id").distinct(), ["condition"], order, "prompt_id", max(sizes))
     size = reduce(lambda acc, s: acc.when(F.col("rank") <= s, s), sorted(sizes)[1:], F.when(F.col("rank") <= min(sizes), min(sizes)))
     return low.select("condition", "prompt_id", size.cast("long").alias("size"))
 
 
 def smoothing(agreement: Column, most: float) -> Column:
-    """Label smoothing of a pair: most * (1 - agreement), within 0 and one half; null agreement gives null."""
-    return F.least(F.lit(0.5), F.greatest(F.lit(0.0), most * (1 - agreement)))
+    """Label smoothing of a pair: most * (1 - agreement). Raises for most outside 0..0.5, and for a row without agreement or with one outside 0..1."""
+    if not 0 <= most <= 0.5:
+        raise ValueError("the largest smoothing must lie between 0 and 0.5")
+    wrong = F.raise_error(F.concat(F.lit("agreement must lie between 0 and 1, got "), F.coalesce(agreement.cast("string"), F.lit("null"))))
+    return F.when(agreement.between(0, 1), most * (1 - agreement)).otherwise(wrong.cast("double"))
 
 
 def smoothed_loss(eps: Column, x: Column) -> Column:
-    """Conservative preference loss at margin x."""
-    return (1 - eps) * F.log1p(F.exp(-x)) + eps * F.log1p(F.exp(x))
+    """Conservative preference loss at margin x; stable for margins of any size."""
+    soft = lambda z: F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+    return (1 - eps) * soft(-x) + eps * soft(x)
 
 
 def training_rows(pairs: DataFrame) -> DataFrame:

@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import hash32
 from ..functions.text import normalize, word_count
+from ..runtime import bounded_rows, materialise
 
 
 def once(df: DataFrame, key: str | list[str]) -> DataFrame:
-    """Rows delivered twice (same key and content, other loaded_at) count once."""
-    return df.drop("loaded_at").dropDuplicates([key] if isinstance(key, str) else key)
+    """One row a key: the first delivery (smallest loaded_at, then the smallest content), so a differing repeat is decided, not drawn."""
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in df.columns if c not in (*keys, "loaded_at")]
+    if not rest:
+        return df.select(*keys).distinct()
+    row = F.struct(*rest)
+    # maps cannot be ordered: their text stands in
+    plain = F.struct(*[F.to_json(c) if "map<" in t else F.col(c) for c, t in df.dtypes if c in rest])
+    order = F.struct(*([F.col("loaded_at")] if "loaded_at" in df.columns else []), F.xxhash64(plain))
+    return df.groupBy(*keys).agg(F.min_by(row, order).alias("__r")).select(*keys, "__r.*")
 
 
 def shuffled(*parts: Column | str, seed: int = 1234) -> Column:
@@ -69,11 +78,18 @@ def lowest_per_group(df: DataFrame, by: list[str], key: Column, ids: str, k: int
 
 
 def stratified(df: DataFrame, stratum: str, ids: str, n: int, seed: int = 1234) -> DataFrame:
-    """n rows over the strata as evenly as possible; the remainder goes to the alphabetically first strata."""
+    """n rows over the strata as evenly as possible; the remainder goes to the alphabetically first strata.
+
+    A stratum with fewer rows than its share raises.
+    """
     strata = df.select(stratum).distinct().withColumns(
         {"k": F.count("*").over(Window.partitionBy(F.lit(1))), "at": F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(stratum))}
     )  # one row a stratum
     quota = strata.select(stratum, (F.floor(F.lit(n) / F.col("k")) + F.when(F.col("at") <= F.lit(n) % F.col("k"), 1).otherwise(0)).alias("quota"))
+    have = df.groupBy(stratum).agg(F.count("*").alias("have"))
+    short = bounded_rows(have.join(F.broadcast(quota), stratum).filter("have < quota"), 10_000, "strata")
+    if short:
+        raise ValueError("too few rows: " + ", ".join(f"{r[stratum]} has {r['have']} of {r['quota']}" for r in short))
     low = lowest_per_group(df, [stratum], shuffled(F.col(ids), seed=seed), ids, n)
     return low.join(F.broadcast(quota), stratum).filter(F.col("rank") <= F.col("quota")).drop("quota")
 
@@ -97,7 +113,8 @@ def leaked_texts(train: DataFrame, held_out: DataFrame, text: str) -> DataFrame:
 def near_vectors(rows: DataFrame, refs: DataFrame, ids: str, vec: str, tau: float, block: int = 5_000) -> DataFrame:
     """Rows with a reference of cosine tau or more: (id, best reference, cosine).
 
-    Exact blocked products: the references go out in blocks of a fixed size, all rows stay where they are.
+    Exact blocked products: the references go out in blocks of a fixed size, all rows stay where they are. With several
+    blocks, each block's best matches are checkpointed and the block is released before the next one is sent.
     """
     import numpy as np
 
@@ -131,6 +148,9 @@ def near_vectors(rows: DataFrame, refs: DataFrame, ids: str, vec: str, tau: floa
                 )
 
         got = rows.select(ids, vec).mapInArrow(best, "id long, ref long, cosine double")
+        if per > 1:
+            got = materialise(got)
+            shared.destroy()
         out = got if out is None else out.unionByName(got)
     if out is None:
         return rows.sparkSession.createDataFrame([], "id long, ref long, cosine double")

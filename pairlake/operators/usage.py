@@ -16,17 +16,31 @@ def usage_by_model(responses: DataFrame) -> DataFrame:
 def rolling_sum(events: DataFrame, by: str, at: str, value: str, ident: str, seconds: int = 60, bucket: int = 3600) -> DataFrame:
     """What was used in the ``seconds`` before each event, without the event itself.
 
-    Time is cut in buckets; each event also goes to the next bucket as a guest where its window reaches there, so a
-    busy key is split over many tasks and every window is still whole.
+    Time is cut in buckets; each event also goes as a guest to every later bucket that a window with it can begin in, so
+    a busy key is split over many tasks and every window is still whole. Buckets are at least as long as the window, which
+    bounds the guests to one copy an event. Null times and values: the event is kept, its own value counts as 0 for others.
     """
+    bucket = max(bucket, seconds)
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = events.select(F.col(ident), F.col(by), us.alias("__t"), F.col(value).cast("long").alias("__v")).withColumn("__b", F.floor(F.col("__t") / (bucket * 1_000_000)))
+    rows = events.select(F.col(ident), F.col(by), us.alias("__t"), F.col(value).cast("long").alias("__v")).withColumn("__v", F.coalesce("__v", F.lit(0))).withColumn("__b", F.floor(F.col("__t") / (bucket * 1_000_000)))
     guests = rows.filter(F.floor((F.col("__t") + seconds * 1_000_000) / (bucket * 1_000_000)) > F.col("__b")).withColumn("__b", F.col("__b") + 1).withColumn("__guest", F.lit(True))
     both = rows.withColumn("__guest", F.lit(False)).unionByName(guests)
     w = Window.partitionBy(by, "__b").orderBy("__t").rangeBetween(-(seconds * 1_000_000 - 1), 0)
     return both.withColumn("used", F.sum("__v").over(w) - F.col("__v")).filter(~F.col("__guest")).select(ident, by, "used")
 
 
+def admissions(events: DataFrame, by: str, at: str, value: str, ident: str, limit: int, seconds: int = 60) -> DataFrame:
+    """(ident, by, used, admit): may a request of ``value`` start now?
+
+    It may if nothing was used in the window (a single request above the limit would else never start) or if what was
+    used and what it asks for stay within the limit.
+    """
+    used = rolling_sum(events, by, at, value, ident, seconds)
+    asked = events.select(ident, F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("__asked"))
+    ok = (F.col("used") == 0) | (F.col("used") + F.col("__asked") <= limit)
+    return used.join(asked, ident).select(ident, by, "used", ok.alias("admit"))
+
+
 def spaced_starts(events: DataFrame, by: str, at: str, ident: str, micros: int, bucket: int = 3600) -> DataFrame:
     """start_i = max(t_i, start_(i-1) + delta) in closed form: i * delta + running max of (t_j - j * delta).
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..functions.text import canonical_record, normalize, strip, word_count
+from ..functions.text import normalize, strip, word_count
 from ..operators import evalstats, judging, labels, prep, reward, transcripts, usage
 from ..runtime import table
 from ..streaming.usage import usage_stream
@@ -92,7 +92,7 @@ F_SQL = {
 def _vote_sql(where: str, name: str = "vote") -> str:
     coin = H.format("concat_ws('|', '1234', coalesce(prompt_id,''), coalesce(source,''), cand::VARCHAR)")
     return (
-        LONG + f", per AS (SELECT prompt_id, source, cand, sum(total) AS t FROM l WHERE {where} GROUP BY ALL), "
+        LONG + f", per AS (SELECT prompt_id, source, cand, avg(total::DOUBLE) AS t FROM l WHERE {where} GROUP BY ALL), "
         f"b AS (SELECT prompt_id, source, first(cand ORDER BY t DESC, {coin}, cand) AS chosen, first(cand ORDER BY t, {coin}, cand) AS rejected, "
         "max(t) AS hi, min(t) AS lo, count(*) AS k FROM per GROUP BY ALL), "
         f"{name} AS (SELECT v.prompt_id, v.source, first(chosen)::BIGINT AS chosen, first(rejected)::BIGINT AS rejected, count(*) AS n_final, "
@@ -274,9 +274,14 @@ def token_estimate(s, d):
     return r.groupBy("model").agg(F.count("*").alias("n"), F.sum(F.floor(F.length("text") / 3.5) + F.expr("completion_tokens DIV 2")).cast("long").alias("estimate"))
 
 
-@query(f"WITH {R} SELECT sha256(concat_ws('|', model, tag, prompt_id)) AS request_key, count(*) AS n, min(resp_id) AS first_id FROM r GROUP BY 1")
+_J = "coalesce(to_json({0})::VARCHAR, 'null')"
+REQUEST_SQL = "'{\"cached\":' || " + _J.format("cached") + " || ',\"model\":' || " + _J.format("model") + " || ',\"prompt_id\":' || " + _J.format("prompt_id") + " || ',\"tag\":' || " + _J.format("tag") + " || '}'"
+
+
+@query(f"WITH {R} SELECT sha256({REQUEST_SQL}) AS request_key, count(*) AS n, min(resp_id) AS first_id FROM r GROUP BY 1")
 def request_key(s, d):
-    return responses(s, d).groupBy(F.sha2(F.concat_ws("|", "model", "tag", "prompt_id"), 256).alias("request_key")).agg(F.count("*").alias("n"), F.min("resp_id").alias("first_id"))
+    key = parse.request_key({c: F.col(c) for c in ("model", "tag", "prompt_id", "cached")})
+    return responses(s, d).groupBy(key.alias("request_key")).agg(F.count("*").alias("n"), F.min("resp_id").alias("first_id"))
 
 
 @query(f"WITH {GEN}, {P} SELECT c.prompt_id, c.source, first(left({STRIP.format('p.prompt')}, 160)) || E'\\n\\n' || string_agg('Response ' || chr(65 + cand) || E':\\n' || left(text, 900), E'\\n\\n' ORDER BY cand) AS rendered FROM c JOIN p ON c.prompt_id = p.id GROUP BY ALL")
@@ -320,11 +325,20 @@ def single_judge_vote(s, d):
     return judging.vote(verdicts(s, d).filter("judge = 'heron-120b' AND round = 1"))
 
 
-@query(f"WITH {LONG}, per AS (SELECT prompt_id, source, cand, sum(total) AS t FROM l WHERE round = 1 GROUP BY ALL) SELECT prompt_id, source, first(cand ORDER BY t, cand)::BIGINT AS target FROM per GROUP BY ALL")
+@query(f"WITH {LONG}, per AS (SELECT prompt_id, source, cand, avg(total::DOUBLE) AS t FROM l WHERE round = 1 GROUP BY ALL) SELECT prompt_id, source, first(cand ORDER BY t, cand)::BIGINT AS target FROM per GROUP BY ALL")
 def devils_advocate_target(s, d):
     return judging.devils_advocate(verdicts(s, d))
 
 
+@query(
+    f"WITH {LONG}, jd AS (SELECT DISTINCT prompt_id, source, judge FROM l WHERE round = 1), "
+    "o AS (SELECT jd.prompt_id, jd.source, jd.judge, l.cand, avg(l.total::DOUBLE) AS t FROM jd JOIN l ON l.prompt_id = jd.prompt_id AND l.source = jd.source AND l.judge <> jd.judge WHERE l.round = 1 GROUP BY ALL) "
+    "SELECT prompt_id, source, judge, first(cand ORDER BY t, cand)::BIGINT AS target FROM o GROUP BY ALL"
+)
+def peer_targets(s, d):
+    return judging.peer_targets(verdicts(s, d))
+
+
 @query(f"WITH {VALID} SELECT verdict_id, chr(64 + list_position(permutation, best)::INT) AS best_label, chr(64 + list_position(permutation, worst)::INT) AS worst_label, array_to_string(list_transform(permutation, lambda p: totals[p + 1]::BIGINT), ',') AS shown_totals FROM v")
 def permutation_remap(s, d):
     return judging.relabelled(verdicts(s, d))
@@ -488,18 +502,6 @@ def winrate_report(s, d):
     return evalstats.win_report(winrate(s, d))
 
 
-@query(
-    f"WITH {W}, per AS (SELECT x, outcome AS v, count(*) AS c FROM w WHERE outcome IS NOT NULL GROUP BY ALL), cum AS (SELECT x, v, sum(c) OVER (PARTITION BY x ORDER BY v) AS hi, sum(c) OVER (PARTITION BY x ORDER BY v) - c AS lo, sum(c) OVER (PARTITION BY x) AS n FROM per), "
-    "g AS (SELECT DISTINCT x, n FROM cum), dr AS (SELECT x, n, b, unnest(range(n::BIGINT)) AS place FROM g, range(200) t(b)), "
-    f"hits AS (SELECT x, n, b, {H.format('concat_ws(' + chr(39) + '|' + chr(39) + ', b::VARCHAR, place::VARCHAR, x)')} % n AS spot FROM dr), ms AS (SELECT hits.x, b, first(hits.n) AS n, sum(v) / count(*) AS m FROM hits JOIN cum ON hits.x = cum.x AND spot >= lo AND spot < hi GROUP BY hits.x, b) "
-    "SELECT x, first(n)::BIGINT AS n, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM ms GROUP BY x"
-)
-def bootstrap_ci_hash(s, d):
-    """200 hashed resamples, as many as its SQL draws; bootstrap_ci has M1's 10,000."""
-    w = winrate(s, d).filter(F.col("outcome").isNotNull())
-    return evalstats.bootstrap(w, ["x"], "outcome", F.col("prompt_id"), 200)
-
-
 @query()
 def bootstrap_ci(s, d):
     return evalstats.bootstrap_draws(winrate(s, d), ["x"], "outcome")
@@ -520,7 +522,7 @@ def _newton_sql(steps: int = 8) -> str:
     return out
 
 
-@query(f"WITH {_newton_sql()} SELECT st.x, st.m::BIGINT AS n, round(1 / (1 + exp(-f8.a)), 4) AS lc_win_rate FROM st LEFT JOIN f8 USING (x)")
+@query(f"WITH {_newton_sql()} SELECT st.x, st.m::BIGINT AS n, CASE WHEN abs(f8.a - f7.a) < 1e-6 AND abs(f8.b - f7.b) < 1e-6 THEN round(1 / (1 + exp(-f8.a)), 4) END AS lc_win_rate FROM st LEFT JOIN f8 USING (x) LEFT JOIN f7 USING (x)")
 def length_controlled_wr(s, d):
     return evalstats.length_controlled(winrate(s, d), ["x"])
 
@@ -581,7 +583,7 @@ def usage_by_model(s, d):
     return usage.usage_by_model(responses(s, d))
 
 
-@query("SELECT model, count(*) AS calls, coalesce(sum(completion_tokens), 0)::BIGINT AS completion_tokens FROM llm_responses GROUP BY ALL")
+@query(f"WITH {R} SELECT model, count(*) AS calls, coalesce(sum(prompt_tokens), 0)::BIGINT AS prompt_tokens, coalesce(sum(completion_tokens), 0)::BIGINT AS completion_tokens FROM r GROUP BY ALL")
 def usage_by_model_stream(s, d):
     return usage_stream(s, f"{d}/llm_responses.parquet")
 
@@ -592,6 +594,22 @@ def rolling_tokens(s, d):
     return usage.rolling_sum(e, "event_type", "ts", "tokens", "event_id", seconds=1800)
 
 
+@query("WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t, floor(value)::BIGINT AS v FROM events) SELECT event_id, event_type, (sum(v) OVER (PARTITION BY event_type ORDER BY t RANGE BETWEEN 10799999999 PRECEDING AND CURRENT ROW) - v)::BIGINT AS used FROM e")
+def rolling_tokens_long(s, d):
+    """A window of three hours, longer than the default bucket."""
+    e = table(s, d, "events").withColumn("tokens", F.floor("value"))
+    return usage.rolling_sum(e, "event_type", "ts", "tokens", "event_id", seconds=10_800)
+
+
+@query(
+    "WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t, floor(value)::BIGINT AS v FROM events), u AS (SELECT event_id, event_type, v, (sum(v) OVER (PARTITION BY event_type ORDER BY t RANGE BETWEEN 1799999999 PRECEDING AND CURRENT ROW) - v)::BIGINT AS used FROM e) "
+    "SELECT event_id, event_type, used, used = 0 OR used + v <= 100 AS admit FROM u"
+)
+def token_admission(s, d):
+    e = table(s, d, "events").withColumn("tokens", F.floor("value"))
+    return usage.admissions(e, "event_type", "ts", "tokens", "event_id", limit=100, seconds=1800)
+
+
 @query("WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events) SELECT event_id, event_type, (max(t - k * 1200000000) OVER (PARTITION BY event_type ORDER BY k ROWS UNBOUNDED PRECEDING) + k * 1200000000)::BIGINT AS start_us FROM e")
 def spaced_starts(s, d):
     return usage.spaced_starts(table(s, d, "events"), "event_type", "ts", "event_id", 1_200_000_000)
