@@ -2,9 +2,13 @@
 
 Method: recursive radix partitioning on canonical bytes. Every record gets canonical bytes
 (:func:`pairlake.functions.text.canonical_record`). Each input partition counts its own copies first, so that
-a group with a third of all rows leaves a partition as one row. Buckets are prefixes of the canonical bytes;
-a bucket over ``capacity`` is split by ``step`` further bytes until each fits or its keys end. Each bucket is
-then counted in a trie whose terminals hold the number of copies and the smallest id.
+a group with a third of all rows leaves a partition as one row. A bucket is a prefix of the canonical bytes;
+a bucket over ``capacity`` is split by the ``step`` bytes behind the longest prefix that all its keys share, until each
+fits or is a single key: a template of any length that thousands of records share costs one round, not one for each
+of its bytes. Each bucket is then counted in a trie whose terminals hold the number of copies and the smallest id.
+
+Buckets have numbers (long); a row carries its bucket's number and depth from round to round in a written table, and what is
+looked up in a round is the (bucket, next bytes) pairs of oversized buckets, by a join: no prefix comes to the driver.
 
 Defined cases: a null text or null id is skipped; empty texts and texts of marks only are one group of their
 own (canonical bytes ''); a row delivered twice counts as one copy; extra columns are ignored.
@@ -19,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_record
-from ..runtime import bounded_rows, materialise
+from ..runtime import bounded_rows, materialise, written
 
 CAPACITY = 200_000
 STEP = 8
-#: A class with more copies than this is matched to its rows by a broadcast, all others by a shuffle.
-HOT = 50_000
+#: A class with more copies than this, and than a thousandth of all, is matched to its rows in slots; there are under 1,000.
+HOT, SLOTS = 50_000, 32
 
 
 class CopyTrie:
@@ -90,33 +94,38 @@ def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
-def split_prefixes(partials: DataFrame, capacity: int, step: int, bound: int = 2_000_000) -> set[bytes]:
-    """The prefixes of oversized buckets, found level by level.
+def split_buckets(partials: DataFrame, capacity: int, step: int) -> DataFrame:
+    """partials with a column ``bucket`` (long): at most ``capacity`` rows each, or all of one key.
 
-    A level has at most rows / capacity oversized prefixes, so what comes to the driver is bounded by that
-    (checked against ``bound``). A prefix that is a whole key on all its rows cannot be split further.
+    A round finds, per oversized bucket, the length of the prefix that its smallest and largest key share (all others
+    lie between them, so they share it too), and splits the bucket by the ``step`` bytes behind it. A bucket whose smallest
+    and largest key are equal holds one key. Each round splits every open bucket, so the rounds are at most the distinct
+    branchings on a path, not the bytes. Rows that are done leave the rounds.
     """
-    found: set[bytes] = set()
-    level, pending = 0, partials.select("canon")
-    if partials.limit(capacity + 1).count() <= capacity:
-        return found
-    found.add(b"")
+    common = F.udf(_shared_length, "int")
+    rows = partials.withColumn("bucket", F.lit(0).cast("long"))
+    done = None
     while True:
-        level += 1
-        width = level * step
-        head = F.substring("canon", 1, width)
-        grouped = (
-            pending.groupBy(head.alias("prefix"))
-            .agg(F.count("*").alias("n"), F.sum(F.when(F.length("canon") > width, 1).otherwise(0)).alias("longer"))
-            .filter((F.col("n") > capacity) & (F.col("longer") > 0))
-            .select("prefix")
-        )
-        over = {bytes(r.prefix) for r in bounded_rows(grouped, bound, "oversized buckets")}
-        if not over:
-            return found
-        found |= over
-        keep = pending.sparkSession.createDataFrame([(bytearray(p),) for p in sorted(over)], "prefix binary")
-        pending = pending.join(F.broadcast(keep), F.substring("canon", 1, width) == F.col("prefix"), "left_semi")
+        groups = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("canon").alias("low"), F.max("canon").alias("high")).filter((F.col("n") > capacity) & (F.col("low") != F.col("high")))
+        # one row per oversized bucket, at most rows / capacity of them; the function runs on these only
+        over = written(groups.select("bucket", (common("low", "high") + step).alias("width")))
+        if over.limit(1).count() == 0:
+            return rows if done is None else done.unionByName(rows)
+        kept = rows.join(over.select("bucket"), "bucket", "left_anti")
+        done = kept if done is None else done.unionByName(kept)
+        # salted, as one bucket may hold all rows: the few oversized buckets are repeated for each slot
+        slots = F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))
+        wide = rows.withColumn("slot", F.pmod(F.xxhash64("canon"), F.lit(SLOTS)).cast("int")).join(over.withColumn("slot", slots), ["bucket", "slot"])
+        rows = written(wide.select("canon", "copies", "least", F.xxhash64("bucket", F.substring("canon", F.lit(1), F.col("width"))).alias("bucket")))
+
+
+def _shared_length(a, b):
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
 def format_classes(
@@ -137,20 +146,7 @@ def format_classes(
 def count_in_buckets(rows: DataFrame, capacity: int = CAPACITY, step: int = STEP) -> DataFrame:
     """rows: (canon binary, id string), without nulls and each delivered row once or more."""
     partials = materialise(rows.mapInArrow(_local_counts, "canon binary, copies long, least string"))
-    split = split_prefixes(partials, capacity, step)
-
-    def bucket_of(key: bytes) -> bytes:
-        width = 0
-        while key[:width] in split and width < len(key):
-            width += step
-        return key[:width]
-
-    def with_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [bucket_of(k) for k in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), *batch.columns], names=["bucket", "canon", "copies", "least"]
-            )
+    bucketed = split_buckets(partials, capacity, step)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("canon", pa.binary()), ("copies", pa.int64()), ("least", pa.string())])
@@ -166,19 +162,18 @@ def count_in_buckets(rows: DataFrame, capacity: int = CAPACITY, step: int = STEP
 
         current, trie = None, CopyTrie(step)
         for batch in batches:  # sorted by bucket: one trie at a time
-            for bucket, key, n, least in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, key, n, least in zip(*(batch.column(c).to_pylist() for c in ("bucket", "canon", "copies", "least"))):
                 if bucket != current:
                     yield from emit(trie)
                     current, trie = bucket, CopyTrie(step)
                 trie.add(key, n, least)
         yield from emit(trie)
 
-    if split:
-        bucketed = partials.mapInArrow(with_bucket, "bucket binary, canon binary, copies long, least string")
-    else:  # everything fits one bucket; spread it over the tasks by its first bytes all the same
-        bucketed = partials.select(F.substring("canon", 1, 2 * step).alias("bucket"), "canon", "copies", "least")
+    # two bytes more spread a bucket that needed no split over the tasks; equal keys stay together
+    spread = F.xxhash64("bucket", F.substring("canon", 1, 2 * step))
     return (
-        bucketed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "canon binary, copies long, least string")
+        bucketed.select(F.when(F.col("bucket") == 0, spread).otherwise(F.col("bucket")).alias("bucket"), "canon", "copies", "least")
+        .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "canon binary, copies long, least string")
     )
 
 
@@ -196,19 +191,19 @@ def format_duplicates(
         .filter(F.col("id").isNotNull() & F.col("canon").isNotNull())
         .select(F.col("canon").cast("binary").alias("canon"), "id")
     )
-    rows = materialise(rows)
-    classes = materialise(count_in_buckets(rows, capacity, step).filter("copies > 1"))
-    # rows / hot classes at the most: a proven bound for the broadcast
-    hot_classes = classes.filter(F.col("copies") > hot)
-    some = hot_classes.limit(1).count() > 0
-    cold = rows.join(classes.filter(F.col("copies") <= hot).select("canon", "least"), "canon")
-    if some:
-        n_hot = len(bounded_rows(hot_classes.select("copies"), 200_000, "hot classes"))
-        cold = cold.unionByName(
-            rows.join(F.broadcast(hot_classes.select("canon", "least")) if n_hot <= 20_000 else hot_classes.select("canon", "least"), "canon")
-        )
+    # keys are matched by 128 bits of their bytes, which are short to move; classes were counted on the bytes themselves
+    digest = F.unhex(F.md5("canon")).alias("digest")
+    rows = written(rows)
+    classes = materialise(count_in_buckets(rows, capacity, step).filter("copies > 1").select(digest, "copies", "least"))
+    total = rows.count()
+    hot_keys = [bytes(r.digest) for r in bounded_rows(classes.filter(F.col("copies") > max(hot, total // 1000)).select("digest"), 1000, "hot classes")]
+    is_hot = F.col("digest").isin(hot_keys) if hot_keys else F.lit(False)
+    slot = F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")).otherwise(0)
+    every = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SLOTS - 1))).otherwise(F.array(F.lit(0))))
+    mine = rows.select(digest, "id").withColumn("slot", slot)
     return (
-        cold.filter(F.col("id") != F.col("least"))
+        mine.join(classes.select("digest", "least").withColumn("slot", every), ["digest", "slot"])
+        .filter(F.col("id") != F.col("least"))
         .select(F.col("least").alias("id_a"), F.col("id").alias("id_b"))
         .distinct()
     )
