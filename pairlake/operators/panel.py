@@ -217,7 +217,7 @@ def peer_summary(verdicts: DataFrame) -> DataFrame:
     v = with_totals(verdicts).filter("valid")
     first = v.filter("round = 1").select("prompt_id", "source", "best", "worst", F.posexplode("totals").alias("cand", "t"))
     one = lambda c: F.sum((F.col(c) == F.col("cand")).cast("int"))
-    text = F.concat_ws("/", one("best").cast("string"), one("worst").cast("string"), F.format_number(F.round(F.sum("t") / F.count("t"), 2), "0.00"))
+    text = F.concat_ws("/", one("best").cast("string"), one("worst").cast("string"), F.format_string("%.2f", F.round(F.sum("t") / F.count("t"), 2)))
     per = first.groupBy("prompt_id", "source", "cand").agg(text.alias("x"))
     seen = per.groupBy("prompt_id", "source").agg(F.map_from_entries(F.collect_list(F.struct("cand", "x"))).alias("m"))
     second = v.filter("round = 2").select("verdict_id", "prompt_id", "source", "permutation")

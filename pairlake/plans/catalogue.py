@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions.text import normalize, strip, word_count
-from ..operators import evalstats, judging, labels, prep, reward, transcripts, usage
+from ..operators import evalstats, judging, labels, panel, prep, reports, reward, transcripts, usage
 from ..runtime import table
 from ..streaming.usage import usage_stream
-from . import planning
+from . import config, planning
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -627,7 +627,14 @@ def cache_lookup(s, d):
     return pairs(s, d).join(keys, "chosen_key", "left").groupBy("condition").agg(F.count("chosen_key").alias("n_keys"), F.count("hit").alias("n_found"))
 
 
-PLAN = "pl(split, source, method, n) AS (VALUES ('train','multi_persona',NULL,2000::BIGINT),('train','single_persona',NULL,1000),('train','single_persona','single_judge',1000),('train','single_persona','panel',1000),('train','multi_persona','single_judge',1000),('train','multi_persona','panel',2000),('dev','multi_persona',NULL,200),('dev','single_persona',NULL,200),('dev','single_persona','single_judge',200),('dev','single_persona','panel',200),('dev','multi_persona','single_judge',200),('dev','multi_persona','panel',200))"
+PLAN = (
+    "cond(name, train, candidates, labels, scaling) AS (VALUES ('human',NULL,'hh_rlhf','human',false),('random',NULL,'multi_persona','random',false),('length',NULL,'multi_persona','longer',false),"
+    "('single_single',NULL,'single_persona','single_judge',false),('single_panel',NULL,'single_persona','panel',false),('multi_single',NULL,'multi_persona','single_judge',false),"
+    "('multi_panel',true,'multi_persona','panel',true),('untrained',false,'other_source','panel',true)), "
+    "used AS (SELECT candidates AS source, labels, CASE WHEN scaling THEN 2000 ELSE 1000 END AS n FROM cond WHERE coalesce(train, true) AND candidates NOT IN ('hh_rlhf','policy_samples')), "
+    "need AS (SELECT source, NULL AS method, max(n)::BIGINT AS n FROM used GROUP BY source UNION ALL SELECT source, labels, max(n)::BIGINT FROM used WHERE labels IN ('panel','single_judge') GROUP BY source, labels), "
+    "pl AS (SELECT 'train' AS split, source, method, n FROM need UNION ALL SELECT 'dev', source, method, 200::BIGINT FROM need)"
+)
 
 
 @query(f"WITH {PLAN} SELECT split, source, method, n FROM pl")
@@ -642,6 +649,12 @@ def api_budget(s, d):
     return planning.api_budget(label_plan(s, d), judges, quotas, "heron-20b", 4)
 
 
+@query(f"WITH {PLAN} SELECT split, source, method, n, row_number() OVER (PARTITION BY split ORDER BY method IS NOT NULL, source, method) AS place FROM pl")
+def plan_order(s, d):
+    """Answers are generated before they are judged; a plan has a few rows a split."""
+    return planning.ordered_plan(label_plan(s, d))
+
+
 @query("SELECT v.variant, t.task FROM variants v, (VALUES ('gsm8k'),('halueval'),('truthful')) t(task)")
 def variant_tasks(s, d):
     tasks = s.createDataFrame([("gsm8k",), ("halueval",), ("truthful",)], "task string")
@@ -657,3 +670,175 @@ def last_run_per_model(s, d):
 def pair_meta(s, d):
     m = pairs(s, d).select("condition", F.coalesce(F.get_json_object("meta", "$.method"), F.lit("none")).alias("method"), F.get_json_object("meta", "$.n_final").cast("int").alias("n_final"))
     return m.groupBy("condition", "method").agg(F.count("*").alias("n"), F.max("n_final").alias("most_final"))
+
+
+# -- reports, protocol and layouts ---------------------------------------------------------------------------------
+@query()
+def agreement_report(s, d):
+    """Overall, by subset, by confidence, per judge and round, first shown, no preference: with intervals from 10,000 resamples."""
+    v = verdicts(s, d).filter("source = 'human_pair'")
+    values = reports.agreement_values(v.select("prompt_id", "source").distinct(), v, judging.vote(v), prompts(s, d))
+    return reports.rates(values, ["grp", "name"], "value")
+
+
+@query(
+    "WITH " + _vote_sql("source = 'human_pair'") + f", {P}, {AGREE}, k AS (SELECT j.*, coalesce(p.subset, 'unknown') AS subset FROM j LEFT JOIN p ON j.prompt_id = p.id), "
+    "x AS (SELECT *, CASE WHEN hit = 0.5 THEN 1.0::DOUBLE ELSE 0.0 END AS none FROM k), hv AS (SELECT * FROM v0 WHERE source = 'human_pair' AND best IS NOT NULL), "
+    "r AS (SELECT 'overall' AS grp, 'all' AS name, hit AS value FROM x UNION ALL SELECT 'subset', subset, hit FROM x UNION ALL SELECT 'confidence', confidence, hit FROM x UNION ALL SELECT 'no_preference', 'all', none FROM x "
+    "UNION ALL SELECT 'judge_round', coalesce(judge, 'unknown') || ' r' || round, (best = 0)::INT::DOUBLE FROM hv UNION ALL SELECT 'first_shown', 'all', (list_position(permutation, best) = 1)::INT::DOUBLE FROM hv WHERE list_position(permutation, best) > 0) "
+    "SELECT grp, name, count(value) AS n, round(avg(value), 6) AS rate FROM r WHERE name IS NOT NULL AND value IS NOT NULL GROUP BY ALL"
+)
+def agreement_values(s, d):
+    v = verdicts(s, d).filter("source = 'human_pair'")
+    values = reports.agreement_values(v.select("prompt_id", "source").distinct(), v, judging.vote(v), prompts(s, d))
+    return values.groupBy("grp", "name").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("rate"))
+
+
+NK = "greatest(coalesce(len(scores), 0), coalesce(len(permutation), 0))"
+
+
+@query(
+    "WITH " + _vote_sql("round = 2") + f", {R}, it AS (SELECT prompt_id, source, max({NK}) AS k FROM v0 GROUP BY ALL), g AS (SELECT split_part(tag, ':', 2) AS source, sum((text IS NULL OR {STRIP.format('text')} = '' OR coalesce(finish_reason, 'stop') = 'length')::INT) AS dropped FROM r WHERE tag LIKE 'gen:%' GROUP BY ALL) "
+    "SELECT it.source, count(*) AS prompts, count(vote.prompt_id) AS pairs, count(*) FILTER (WHERE k < 2) AS too_few, count(*) FILTER (WHERE k >= 2 AND vote.prompt_id IS NULL) AS ties, coalesce(any_value(g.dropped), 0)::BIGINT AS dropped "
+    "FROM it LEFT JOIN vote ON it.prompt_id = vote.prompt_id AND it.source = vote.source LEFT JOIN g ON g.source = it.source GROUP BY it.source"
+)
+def label_counts(s, d):
+    v = verdicts(s, d)
+    return reports.label_stats(v, judging.vote(v.filter("round = 2")), labels.dropped(responses(s, d)))
+
+
+@query("WITH " + _vote_sql("round = 2") + ", h AS (SELECT source, 'chosen' AS role, chosen AS cand FROM vote UNION ALL SELECT source, 'rejected', rejected FROM vote) SELECT source, role, cand, count(*) AS n FROM h GROUP BY ALL")
+def choice_histogram(s, d):
+    return reports.choice_histogram(judging.vote(verdicts(s, d).filter("round = 2")))
+
+
+@query("WITH " + _vote_sql("round = 2") + ", c AS (SELECT source, count(DISTINCT prompt_id) AS n_items, count(*) FILTER (WHERE v.verdict_id IS NULL) AS failed_calls FROM v0 LEFT JOIN v USING (verdict_id, source, prompt_id) GROUP BY source), a AS (SELECT source, count(*) AS n_pairs, round(avg(agreement), 6) AS mean_agreement FROM vote GROUP BY source) SELECT c.source, n_items, coalesce(n_pairs, 0) AS n_pairs, failed_calls, mean_agreement FROM c LEFT JOIN a ON c.source = a.source")
+def spot_check(s, d):
+    v = verdicts(s, d)
+    return reports.spot_check(judging.with_totals(v), judging.vote(v.filter("round = 2")))
+
+
+@query()
+def winrate_intervals(s, d):
+    """Shares, interval from 10,000 resamples, length-controlled rate and juror agreement of each compared pair."""
+    w = winrate(s, d)
+    return reports.win_report(w, evalstats.juror_rows(w))
+
+
+@query(f"WITH {W}, sd AS (SELECT x AS variant, len_x AS w FROM w UNION ALL SELECT y, len_y FROM w) SELECT variant, count(w) AS n, round(avg(w), 6) AS words FROM sd WHERE w IS NOT NULL GROUP BY variant")
+def variant_words(s, d):
+    return reports.mean_words(winrate(s, d))
+
+
+@query(
+    f"WITH {PA}, a AS (SELECT min(pair_id) AS i FROM pa WHERE agreement = 1 AND prompt_id LIKE '%helpful%'), b AS (SELECT min(pair_id) AS i FROM pa WHERE agreement < 0.8 AND pair_id NOT IN (SELECT i FROM a WHERE i IS NOT NULL)), "
+    "c AS (SELECT min(pair_id) AS i FROM pa WHERE prompt_id LIKE '%harmless%' AND pair_id NOT IN (SELECT i FROM a WHERE i IS NOT NULL UNION ALL SELECT i FROM b WHERE i IS NOT NULL)) "
+    "SELECT * FROM (SELECT 'agreed' AS want, i AS pair_id FROM a UNION ALL SELECT 'split', i FROM b UNION ALL SELECT 'harmless', i FROM c) WHERE pair_id IS NOT NULL"
+)
+def first_examples(s, d):
+    wants = {"agreed": (F.col("agreement") == 1) & F.col("prompt_id").contains("helpful"), "split": F.col("agreement") < 0.8, "harmless": F.col("prompt_id").contains("harmless")}
+    return reports.first_examples(pairs(s, d), wants, "pair_id")
+
+
+@query(f"WITH {VALID}, {GEN}, {P} SELECT v.verdict_id, p.prompt, a.text AS best_text, b.text AS worst_text FROM v JOIN c a ON a.prompt_id = v.prompt_id AND a.source = v.source AND a.cand = v.best JOIN c b ON b.prompt_id = v.prompt_id AND b.source = v.source AND b.cand = v.worst JOIN p ON p.id = v.prompt_id")
+def walkthrough(s, d):
+    return reports.walkthrough(judging.with_totals(verdicts(s, d)).filter("valid"), labels.candidates(responses(s, d)), prompts(s, d))
+
+
+@query(f"WITH {PA}, g AS (SELECT DISTINCT condition, prompt_id FROM pa), m AS (SELECT prompt_id, count(*) AS k FROM g GROUP BY ALL), n AS (SELECT count(DISTINCT condition) AS k FROM g), f AS (SELECT count(*) AS n FROM m WHERE k = (SELECT k FROM n)) SELECT 'main' AS grp, condition, count(*) AS n_valid, (SELECT n FROM f) AS n_prompts FROM g GROUP BY condition")
+def pairs_manifest(s, d):
+    """The manifest of all conditions as rows (driver document: reports.build_manifest, write_pairs)."""
+    p = pairs(s, d)
+    names = sorted(r.condition for r in p.select("condition").distinct().collect())
+    manifest, _ = reports.build_manifest(p, {"main": names})
+    rows = [(g, c, n, m["n_prompts"]) for g, m in manifest["groups"].items() for c, n in m["per_condition_valid"].items()]
+    return s.createDataFrame(rows, "grp string, condition string, n_valid long, n_prompts long")
+
+
+@query(
+    f"WITH {P}, i AS (SELECT id, unnest(range(4))::INT AS i FROM p), h AS (SELECT id, i, {H.format('concat_ws(' + chr(39) + '|' + chr(39) + ', ' + chr(39) + '1234' + chr(39) + ', id, i::VARCHAR)')} AS h FROM i) "
+    "SELECT id, string_agg(i::VARCHAR, ',' ORDER BY h, i) AS shown FROM h GROUP BY id"
+)
+def label_shuffle(s, d):
+    """The order in which a call on each prompt shows four candidates."""
+    p = prompts(s, d).filter(F.col("id").isNotNull())
+    return p.select("id", F.array_join(panel.shuffled_labels(F.lit(4), F.col("id")).cast("array<string>"), ",").alias("shown"))
+
+
+@query(
+    f"WITH {VALID}, f AS (SELECT prompt_id, source, best, worst, unnest(range(len(totals)))::INT AS cand, unnest(totals) AS t FROM v WHERE round = 1), "
+    "per AS (SELECT prompt_id, source, cand, sum((best = cand)::INT)::VARCHAR || '/' || sum((worst = cand)::INT)::VARCHAR || '/' || printf('%.2f', round(avg(t::DOUBLE), 2)) AS x FROM f GROUP BY ALL), "
+    "s AS (SELECT verdict_id, prompt_id, source, unnest(permutation) AS cand, unnest(range(len(permutation))) AS place FROM v WHERE round = 2), "
+    "k AS (SELECT DISTINCT prompt_id, source FROM per) "
+    "SELECT s.verdict_id, string_agg(chr(65 + s.place::INT) || ':' || coalesce(per.x, '-'), ' ' ORDER BY s.place) AS shown FROM s JOIN k ON k.prompt_id = s.prompt_id AND k.source = s.source LEFT JOIN per ON per.prompt_id = s.prompt_id AND per.source = s.source AND per.cand = s.cand GROUP BY s.verdict_id"
+)
+def peer_views(s, d):
+    """Round one, in the letters of each verdict of round two."""
+    return panel.peer_summary(verdicts(s, d))
+
+
+@query(f"WITH {P}, g AS (SELECT id, split, row_number() OVER (PARTITION BY split ORDER BY id) AS rk FROM p) SELECT id, split, rk AS place FROM g WHERE rk <= 50")
+def first_slice(s, d):
+    """The first fifty records of each split in file order."""
+    got = prep.lowest_per_group(prompts(s, d).select("id", "split"), ["split"], F.lit(0), "id", 50)
+    return got.select("id", "split", F.col("rank").cast("long").alias("place"))
+
+
+@query(
+    f"WITH {P}, {PA}, u AS (SELECT 'human_labels' AS source, subset FROM p WHERE human_chosen IS NOT NULL AND human_rejected IS NOT NULL AND {STRIP.format('human_chosen')} <> {STRIP.format('human_rejected')} AND {STRIP.format('human_chosen')} <> '' AND {STRIP.format('human_rejected')} <> '' "
+    f"UNION ALL SELECT 'preference_pairs', NULL FROM pa WHERE chosen IS NOT NULL AND rejected IS NOT NULL AND {STRIP.format('chosen')} <> {STRIP.format('rejected')} AND {STRIP.format('chosen')} <> '' AND {STRIP.format('rejected')} <> '') "
+    "SELECT source, subset, count(*) AS n, 'mixed:human_labels+preference_pairs' AS label_source FROM u GROUP BY ALL"
+)
+def two_layouts(s, d):
+    """Rows of both layouts as pairs, and the tag of their sources; unusable rows are left out before, as they raise."""
+    fits = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & (strip(F.col(a)) != strip(F.col(b))) & (strip(F.col(a)) != "") & (strip(F.col(b)) != "")
+    a = prompts(s, d).select("human_chosen", "human_rejected", "subset").filter(fits("human_chosen", "human_rejected"))
+    b = pairs(s, d).select("chosen", "rejected").filter(fits("chosen", "rejected"))
+    rows = reward.preference_rows(a.unionByName(b, allowMissingColumns=True))
+    return rows.groupBy("source", "subset").agg(F.count("chosen").alias("n")).withColumn("label_source", F.lit(reward.label_source(rows)))
+
+
+@query(f"WITH {GEN}, x AS (SELECT prompt_id, {WORDS.format('text')} AS w FROM c WHERE source = 'multi_persona' AND cand = 0), y AS (SELECT prompt_id, {WORDS.format('text')} AS w FROM c WHERE source = 'single_persona' AND cand = 0) SELECT x.prompt_id, x.w::INT AS words_x, y.w::INT AS words_y FROM x JOIN y ON x.prompt_id = y.prompt_id")
+def answer_duels(s, d):
+    """First answers of two sources on the same prompts, with their lengths."""
+    c = labels.candidates(responses(s, d)).filter("cand = 0")
+    of = lambda source, n: c.filter(F.col("source") == source).select("prompt_id", word_count(F.col("text")).alias(n))
+    return of("multi_persona", "words_x").join(of("single_persona", "words_y"), "prompt_id")
+
+
+@query(f"WITH {P}, {PA}, cs AS (SELECT DISTINCT condition FROM pa), done AS (SELECT DISTINCT condition, prompt_id FROM pa) SELECT cs.condition, p.split, count(*) AS todo FROM cs, p WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.condition = cs.condition AND done.prompt_id = p.id) GROUP BY ALL")
+def condition_tasks(s, d):
+    """Conditions x prompts that have no pair yet: counted from what is done, without forming the product."""
+    p, done = prompts(s, d).select(F.col("id").alias("prompt_id"), "split"), pairs(s, d).select("condition", "prompt_id").distinct()
+    every = p.groupBy("split").agg(F.count("*").alias("n"))
+    have = done.join(p, "prompt_id").groupBy("condition", "split").agg(F.count("*").alias("k"))
+    grid = F.broadcast(done.select("condition").distinct()).crossJoin(every)  # one row a condition and split
+    return grid.join(have, ["condition", "split"], "left").select("condition", "split", (F.col("n") - F.coalesce("k", F.lit(0))).alias("todo")).filter("todo > 0")
+
+
+@query(f"WITH {PA}, g AS (SELECT pair_id, condition, row_number() OVER (PARTITION BY condition ORDER BY {H.format(chr(39) + '7|' + chr(39) + ' || pair_id::VARCHAR')}, pair_id) AS rk FROM pa) SELECT pair_id, condition FROM g WHERE rk <= 20")
+def spot_sample(s, d):
+    """Twenty pairs of each condition by a seeded order."""
+    return prep.lowest_per_group(pairs(s, d).select("pair_id", "condition"), ["condition"], prep.shuffled(F.col("pair_id").cast("string"), seed=7), "pair_id", 20).select("pair_id", "condition")
+
+
+@query(f"WITH {P} SELECT id, gold_answer AS gold FROM p WHERE gold_answer IS NOT NULL")
+def gold_parse(s, d):
+    """The answer behind #### of a worked solution, here made from the prompt and its answer."""
+    solution = F.concat_ws("\n#### ", "prompt", "gold_answer")
+    return prompts(s, d).filter("gold_answer IS NOT NULL").select("id", parse.gold_number(solution).alias("gold"))
+
+
+@query("SELECT variant, CASE WHEN policy_model LIKE 'Qwen/%' THEN 'qwen' WHEN policy_model LIKE 'HuggingFaceTB/SmolLM%' THEN 'smollm' WHEN policy_model LIKE 'microsoft/Phi%' THEN 'phi' ELSE 'unknown' END AS family FROM variants")
+def variant_families(s, d):
+    start = F.lit("unknown")
+    for prefix, name in config.FAMILIES.items():
+        start = F.when(F.col("policy_model").startswith(prefix), name).otherwise(start)
+    return table(s, d, "variants").select("variant", start.alias("family"))
+
+
+@query()
+def subset_reward_models(s, d):
+    """Reward models on the human pairs: all, and each subset with enough pairs."""
+    p = prompts(s, d).filter("human_chosen IS NOT NULL AND human_rejected IS NOT NULL")
+    return reward.subset_models(p.select(F.col("id").alias("pair_id"), "subset", F.col("human_chosen").alias("chosen"), F.col("human_rejected").alias("rejected")), folds=3)

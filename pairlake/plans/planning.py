@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 JUDGED = ("panel", "single_judge")
@@ -22,6 +22,12 @@ def label_plan(conditions: DataFrame, main_n: int, scale_n: int, dev_n: int) ->
     return train.unionByName(needs.select(F.lit("dev").alias("split"), "source", "method", F.lit(dev_n).cast("long").alias("n"))).filter("n > 0")
 
 
+def ordered_plan(plan: DataFrame) -> DataFrame:
+    """Adds place per split: generation before judging, then by source and method."""
+    w = Window.partitionBy("split").orderBy(F.col("method").isNotNull(), "source", "method")
+    return plan.withColumn("place", F.row_number().over(w).cast("long"))
+
+
 def api_budget(plan: DataFrame, judges: DataFrame, quotas: DataFrame, gen_model: str, per_prompt: int) -> DataFrame:
     """(model, calls, days): calls of a plan per model, and days at the daily quota (null without one)."""
     gen = plan.filter("method IS NULL AND source <> 'human_pair'").select(F.lit(gen_model).alias("model"), (F.col("n") * per_prompt).alias("calls"))
