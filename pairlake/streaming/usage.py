@@ -50,7 +50,7 @@ def usage_stream(spark: SparkSession, path: str) -> DataFrame:
     once, so a restarted batch counts once); nothing is kept on the driver.
     """
     out = _shared(spark, "usage")
-    source = file_stream(spark, path).withWatermark("created_at", "36500 days").dropDuplicatesWithinWatermark(["resp_id"])
+    source = file_stream(spark, path).withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", "36500 days").dropDuplicatesWithinWatermark(["resp_id"])
 
     def add(batch: DataFrame, number: int) -> None:
         counts = batch.groupBy("model").agg(
@@ -73,7 +73,7 @@ def window_stream(spark: SparkSession, path: str, by: str, at: str, value: str,
     """
     out = _shared(spark, "windows")
     w = F.window(at, f"{seconds} seconds", f"{slide} seconds")
-    sums = file_stream(spark, path).withWatermark(at, late).groupBy(F.col(by), w).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    sums = file_stream(spark, path).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.col(by), w).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     rows = sums.select(by, F.unix_micros("window.start").alias("start_us"), "n", "total")
     finish(rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start())
     got = read_table(spark, out)
