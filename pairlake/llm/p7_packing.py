@@ -123,7 +123,7 @@ def pack(items: DataFrame, limits: list[tuple[str, int]], open_windows: int = OP
         if rows:
             yield flush()
 
-    sharded = items.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", F.col("n_tokens"))
+    sharded = items.select(F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("n_tokens"))), F.lit(shards)).cast("int").alias("shard"), "doc_id", F.col("n_tokens"))
     placed = materialise(sharded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "n_tokens").mapInArrow(place, _DDL))
 
     def join_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
