@@ -7,6 +7,7 @@ shipped to the executors. Requests are rows; calls run over Arrow batches where
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -35,6 +36,22 @@ class Model(Protocol):
     def chat(self, request: dict) -> dict: ...
 
 
+class FirstShown:
+    """A model without any taste: it always prefers what it is shown first. A baseline for position bias, and for dry runs."""
+
+    def __init__(self, criteria: list[str]) -> None:
+        self.criteria = criteria
+
+    def chat(self, request: dict) -> dict:
+        letters: list[str] = []
+        for letter in re.findall(r"(?m)^Response ([A-Z]):$", request["user"]):
+            if letter == LETTERS[len(letters)]:
+                letters.append(letter)
+        scores = {a: dict.fromkeys(self.criteria, 1 if i else 5) for i, a in enumerate(letters)}
+        reply = {"scores": scores, "best": letters[0] if letters else None, "worst": letters[-1] if letters else None, "rationale": ""}
+        return {"text": json.dumps(reply), "finish_reason": "stop", "prompt_tokens": len(request["user"]) // 4, "completion_tokens": 1}
+
+
 def ask(model: Model, request: dict, tries: int = 4, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> dict:
     """One answer: waits double after each passing failure, the last one is raised; without JSON mode where there is none."""
     for i in range(tries):

@@ -777,6 +777,23 @@ def peer_views(s, d):
     return panel.peer_summary(verdicts(s, d))
 
 
+@query(
+    f"WITH {GEN}, {P}, it AS (SELECT c.prompt_id || '|' || c.source AS item, count(*) AS n FROM c JOIN p ON p.id = c.prompt_id GROUP BY ALL HAVING count(*) >= 2), "
+    "js(judge, seat) AS (VALUES ('heron-120b', 0), ('heron-20b', 1), ('quartz-27b', 2)), "
+    f"sh AS (SELECT item, judge, round, i, {H.format('concat_ws(' + chr(39) + '|' + chr(39) + ', ' + chr(39) + '1234' + chr(39) + ', item, ' + chr(39) + 'panel' + chr(39) + ', ' + chr(39) + 'r' + chr(39) + ' || round, seat::VARCHAR, i::VARCHAR)')} AS h "
+    "FROM (SELECT item, judge, seat, round, unnest(range(n))::INT AS i FROM it, js, (VALUES (1), (2)) r(round))) "
+    "SELECT item, judge, round::INT AS round, first(i ORDER BY h, i) AS best, last(i ORDER BY h, i) AS worst, round = 2 AS final FROM sh GROUP BY item, judge, round"
+)
+def panel_rounds(s, d):
+    """The two-round protocol over all candidate groups, with a model that prefers what it is shown first."""
+    c = labels.candidates(responses(s, d)).groupBy("prompt_id", "source").agg(F.array_sort(F.collect_list(F.struct("cand", "text")))["text"].alias("texts"))
+    p = prompts(s, d).select(F.col("id").alias("prompt_id"), "prompt")
+    items = c.join(p, "prompt_id").select(F.concat_ws("|", "prompt_id", "source").alias("prompt_id"), "prompt", "texts")
+    criteria = ["helpfulness", "correctness", "harmlessness"]
+    got = panel.panel(items, panel.FirstShown(criteria), ["heron-120b", "heron-20b", "quartz-27b"], criteria, retries=1)
+    return got.filter("valid").select(F.col("prompt_id").alias("item"), "judge", "round", "best", "worst", "final")
+
+
 @query(f"WITH {P}, g AS (SELECT id, split, row_number() OVER (PARTITION BY split ORDER BY id) AS rk FROM p) SELECT id, split, rk AS place FROM g WHERE rk <= 50")
 def first_slice(s, d):
     """The first fifty records of each split in file order."""
